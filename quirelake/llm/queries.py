@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digests, format_chats
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
+from .quality import learn_quality, score_quality
 from .toxicity import learn_toxicity, score_toxicity
 
 
@@ -41,12 +43,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
