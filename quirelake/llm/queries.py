@@ -11,6 +11,8 @@ from .exact_dedup import exact_dedup
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
 from .quality import learn_quality, score_quality
+from .substring_dedup import substring_dedup
+from .suffix_lm import score_documents
 from .toxicity import learn_toxicity, score_toxicity
 
 
@@ -52,17 +54,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffix_lm": op7_suffix_lm,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+             g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM p),
+             c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM g WHERE again),
+             r AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(ks, j)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
     "op2_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, n, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
