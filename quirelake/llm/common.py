@@ -44,6 +44,25 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, mark: Column, mark_bytes: int, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """docs without the rows that found (id, mark, kept: a row each, written) doesn't keep; all columns stay.
+
+    A row is told by its id and mark, a hash of its text. Of rows that agree in both as many as are kept stay or, if only
+    some are kept, one, whichever. Ids that go are broadcast up to broadcast_bytes, beyond it the join is shuffled.
+    """
+    keys = found.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max("kept").alias("kept"), F.min("kept").alias("all"))
+    size = 40 + mark_bytes
+    gone = small_enough(materialize(keys.where("not kept").select("__id", "__mark"), "gone"), size, broadcast_bytes)
+    some = materialize(keys.where("kept and not all").select("__id", "__mark"), "some")
+    same = F.col("__mark").eqNullSafe(mark) & F.col("__id").eqNullSafe(F.col(id_col))
+    left = docs.join(gone, same, "left_anti")
+    if some.isEmpty():
+        return left
+    some = small_enough(some, size, broadcast_bytes)
+    one = left.join(some, same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return left.join(some, same, "left_anti").unionByName(one)
+
+
 def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, small_enough, text_of
+from .common import BLANKS, keep_rows, materialize, small_enough, text_of
 
 
 def rice_encode(values: np.ndarray) -> bytes:
@@ -126,20 +126,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """docs without the rows that ``exact_dedup`` doesn't keep; all columns stay.
-
-    Of repeated rows (same id, equal text) one stays, whichever, as ``exact_dedup`` keeps one.
-    """
-    found = materialize(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"), "dedup-result")
-    keys = found.groupBy("__id", "__sha").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = small_enough(materialize(keys.where("not kept").select("__id", "__sha"), "dedup-gone"), 96, broadcast_bytes)
-    twice = materialize(keys.where("kept and n > 1").select("__id", "__sha"), "dedup-twice")
-    sha = F.unhex(F.sha2(F.regexp_replace(text_of(text_col), BLANKS, ""), 256))
-    same = F.col("__sha").eqNullSafe(sha) & F.col("__id").eqNullSafe(F.col(id_col))
-    left = docs.join(gone, same, "left_anti")
-    if twice.isEmpty():
-        return left
-    twice = small_enough(twice, 96, broadcast_bytes)
-    once, more = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi")
-    return once.unionByName(more.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha"))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that ``exact_dedup`` doesn't keep; all columns stay. Of repeated rows (same id, equal text) one stays."""
+    found = exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("mark"), "kept")
+    return keep_rows(docs, materialize(found, "dedup-found"), id_col, F.unhex(F.sha2(F.regexp_replace(text_of(text_col), BLANKS, ""), 256)), 32)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_chats
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .language import learn_profiles, predict_language
 from .mixing import mix_sources
 from .quality import learn_quality, score_quality
@@ -24,6 +25,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links", "n_shingles")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -63,6 +68,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
