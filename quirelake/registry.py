@@ -1,4 +1,7 @@
 """Registered queries and the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from .queries import documents, pipelines, search, store
+
+_MODULES = (search, documents, store, pipelines)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
