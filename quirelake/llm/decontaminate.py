@@ -46,9 +46,9 @@ class Canon(dict):
         elif bare.lower() in UNITS and len(bare) > 1 or bare in (b"%", b"$"):
             h = int(UNIT_H) | UNIT
         else:
-            first = bare.decode(errors="replace")[:1]
-            flags |= CAPITAL if first != first.lower() else 0
-            h = xxhash.xxh3_64_intdigest(bare.decode(errors="replace").lower()) & ~15
+            plain = bare.decode(errors="replace")
+            flags |= CAPITAL if plain[0] != plain[0].lower() and plain[1:] != plain[1:].upper() else 0  # words in capitals throughout are no names
+            h = xxhash.xxh3_64_intdigest(plain.lower()) & ~15
         out = self[word] = h | flags
         return out
 

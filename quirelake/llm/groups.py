@@ -33,7 +33,7 @@ def dumps(x: object) -> bytes:
 
 def planes(x: np.ndarray) -> bytes:
     """An array byte plane by byte plane: the high bytes of sorted values compress away."""
-    return dumps((x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()))
+    return dumps((x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()))
 
 
 def unplanes(data: bytes) -> np.ndarray:
