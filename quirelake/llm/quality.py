@@ -28,8 +28,23 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 N_FEATURES = 14
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-blank lines of all texts: features (lines x N_FEATURES), bytes, and the text each is of."""
+def line_features(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-blank lines of all texts: features (lines x N_FEATURES), bytes, and the text each is of. About most bytes of text are spread out at a time."""
+    found, at = [], 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= most:
+            size += len(texts[stop])
+            stop += 1
+        x, n, owner = _line_features(texts[at:stop])
+        found.append((x, n, owner + at))
+        at = stop
+    if not found:
+        return np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     begins = np.concatenate(([0], ends[:-1] + 1))
