@@ -23,7 +23,7 @@ def training_rows(docs: DataFrame, labels: DataFrame | None, id_col: str, text_c
     have = have.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     have = have.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string")))
     if per_label:
-        counts = have.groupBy(F.col("y").alias("of")).agg(F.count("*").alias("n"))
+        counts = small_enough(materialize(have.groupBy(F.col("y").alias("of")).agg(F.count("*").alias("n")), "learn-counts"), 64, 4 << 20)
         # a frequent label's rows are thinned before they meet, to about twice what is taken
         near = F.col("h") / F.lit(2.0**64) + 0.5 <= (2.0 * most + 50) / F.col("n")
         have = have.join(counts, F.col("y") == F.col("of")).where(near).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("rank") <= most)

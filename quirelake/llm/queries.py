@@ -81,6 +81,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b, c = x.n AND c = y.n AS equal FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             k AS (SELECT a, min(b) AS class_id FROM r GROUP BY 1),
+             m AS (SELECT a, count(*) AS links, min(b) FILTER (equal) AS first FROM l GROUP BY 1)
+        SELECT d.doc_id, class_id, least(d.doc_id, coalesce(first, d.doc_id)) AS rep_id, coalesce(links, 0) AS n_links, coalesce(n, 0) AS n_shingles
+        FROM d JOIN k ON k.a = d.doc_id LEFT JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op8_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
              p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
