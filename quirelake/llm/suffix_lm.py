@@ -9,71 +9,89 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix
+from .common import mix
 from .groups import Groups, cuts, planes, unplanes
 from .learn import held_out
 
-END = np.uint64(0x2545F4914F6CDD1D)
+END = 0x2545F4914F6CDD1D
 SYMBOL = np.uint64(0xFFFFFFFFFF)  # 40 bits tell the symbols of one context apart
 
 
+class Places(dict):
+    """Words by the order in which they first come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Tokens:
-    """The tokens of a group, one array for all documents, each closed by END."""
+    """The tokens of a group, one array for all documents, each closed by an end: ``at`` points into ``words``, ascending hashes."""
 
-    def __init__(self, docs: tuple, hashes: WordHash):
+    def __init__(self, docs: tuple):
         self.ids, held, texts = docs
-        parts, lens = [], []
+        places, parts, lens = Places(), [], []
         for text in texts:
             words = text.lower().split()  # bytes: A-Z only
-            parts += [hashes.of(words), np.array([END])]
-            lens.append(len(words) + 1)
+            words.append(b"")  # the end
+            parts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
+            lens.append(len(words))
         self.lens = np.array(lens)
         self.doc = np.repeat(np.arange(len(lens)), lens)
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
         self.train = ~np.array([bool(x) for x in held])[self.doc]
-        self.words, self.at = np.unique(np.concatenate(parts), return_inverse=True)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else END for w in places), np.uint64, len(places))
+        self.words, to = np.unique(hashes, return_inverse=True)
+        self.at = to[np.concatenate(parts)]
 
 
 class Scorer:
     """Repeats, from the answers so far, what a group knows: counts of words, then of the contexts of each depth."""
 
-    def __init__(self, docs: tuple, got: dict, owners: int, settings: dict, hashes: WordHash):
-        self.t, self.owners, self.s = Tokens(docs, hashes), owners, settings
-        if 0 not in got:
-            return
-        t = self.t
+    def __init__(self, docs: tuple, got: dict, owners: int, settings: dict):
+        self.t = t = Tokens(docs)
+        self.owners, self.s = owners, settings
         self.c = np.concatenate([unplanes(x) for x in got[0].values()])
         n, v = settings["totals"]
         p = (self.c + 0.1) / (n + 0.1 * (v + 1))
         self.base = self.p = p[t.at]
-        # the context that ends before each token: its hash, and how often it occurs in training (0: too rare to be one)
-        self.hash, self.seen = np.zeros(len(t.at), np.uint64), np.zeros(len(t.at), np.int64)
-        self.hash[1:], self.seen[1:] = mix(t.words)[t.at[:-1]], self.c[t.at[:-1]]
+        self.mixed = mix(t.words)
+        # the context that ends before each token: its place in a table of hashes, and how often it occurs in training (0: too rare to be one)
+        self.table, self.ctx, self.seen = self.mixed, np.zeros(len(t.at), np.int64), np.zeros(len(t.at), np.int64)
+        self.ctx[1:], self.seen[1:] = t.at[:-1], self.c[t.at[:-1]]
         self.seen[t.place < 1] = 0
         self.common = self.c[t.at] >= settings["least_pair"]  # may the token be a symbol of its own in that context
         depth = 1
         while depth in got:
-            self.asked(depth)
+            self.asked()
             self.learn(depth, got[depth])
             depth += 1
 
-    def asked(self, depth: int) -> None:
+    def asked(self) -> None:
         """Contexts by hash, their occurrences in training, and the (context, symbol) items in that order."""
         t = self.t
         self.live = np.flatnonzero(self.seen >= self.s["least_context"])
-        self.contexts, first, where = np.unique(self.hash[self.live], return_index=True, return_inverse=True)
-        self.n = self.seen[self.live[first]]
-        self.where = where
+        ctx = self.ctx[self.live]
+        used = np.flatnonzero(np.bincount(ctx, minlength=len(self.table)))
+        used = used[np.argsort(self.table[used], kind="stable")]
+        self.contexts = self.table[used]
+        rank = np.zeros(len(self.table), np.int64)
+        rank[used] = np.arange(len(used))
+        self.where = rank[ctx]
+        self.n = np.zeros(len(used), np.int64)
+        self.n[self.where] = self.seen[self.live]
         sym = self.common[self.live]
         self.pick = self.live[sym]
-        keys, first, self.item = np.unique(where[sym].astype(np.uint64) << np.uint64(40) | mix(t.words)[t.at[self.pick]] & SYMBOL, return_index=True, return_inverse=True)
-        self.keys, self.first = keys, self.pick[first]
+        keys = self.where[sym].astype(np.uint64) << np.uint64(40) | self.mixed[t.at[self.pick]] & SYMBOL
+        self.keys, first, self.item = np.unique(keys, return_index=True, return_inverse=True)
+        self.first = self.pick[first]
 
-    def lists(self, depth: int) -> dict[int, tuple]:
-        self.asked(depth)
+    def lists(self) -> dict[int, tuple]:
+        self.asked()
         counts = np.bincount(self.item, self.t.train[self.pick], len(self.keys)).astype(np.uint32)
         odds = np.minimum(255, np.round(-8 * np.log2(self.p[self.first]))).astype(np.uint8)
         at, of, symbols = cuts(self.contexts, self.owners), (self.keys >> np.uint64(40)).astype(np.int64), self.keys & SYMBOL
@@ -91,15 +109,15 @@ class Scorer:
         k = np.concatenate([unplanes(x) for _, x in got.values()] or [np.zeros(0, np.uint32)]).astype(np.int64)
         p = self.p.copy()
         p[self.live] *= gamma[self.where]
-        ctx = (self.keys >> np.uint64(40)).astype(np.int64)
-        mine = np.where(gamma[ctx] < 1, k / (self.n[ctx] + beta), 0)
+        of = (self.keys >> np.uint64(40)).astype(np.int64)
+        mine = np.where(gamma[of] < 1, k / (self.n[of] + beta), 0)
         p[self.pick] += mine[self.item]
-        # contexts one word longer end before the next token; they are the pairs counted now
-        count = np.zeros(len(t.at), np.int64)
-        count[self.pick] = k[self.item]
-        longer = mix(self.hash * np.uint64(0x9E3779B97F4A7C15) ^ mix(t.words)[t.at])
-        self.hash, self.seen, self.common, self.p = np.zeros_like(self.hash), np.zeros_like(self.seen), count >= self.s["least_pair"], p
-        self.hash[1:], self.seen[1:] = longer[:-1], count[:-1]
+        # contexts one word longer end before the next token; they are the items counted now
+        table = mix(self.contexts[of] * np.uint64(0x9E3779B97F4A7C15) ^ self.mixed[t.at[self.first]])
+        count, item = np.zeros(len(t.at), np.int64), np.zeros(len(t.at), np.int64)
+        count[self.pick], item[self.pick] = k[self.item], self.item
+        self.table, self.ctx, self.seen, self.common, self.p = table, np.zeros_like(item), np.zeros_like(count), count >= self.s["least_pair"], p
+        self.ctx[1:], self.seen[1:] = item[:-1], count[:-1]
         self.seen[t.place < depth + 1] = 0
 
 
@@ -153,7 +171,7 @@ def test_contexts(lists: list, beta: float, least_pair: int, cost: float) -> lis
     return [(planes(gamma[at[ctx_ends[i] : ctx_ends[i + 1]]]), planes(k[item[item_ends[i] : item_ends[i + 1]]].astype(np.uint32))) for i in range(len(parts))]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, depth: int = 2, least_context: int = 8, least_pair: int = 2, beta: float = 1.0, cost: float = 0.5, group_bytes: int = 6 << 20, owner_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, depth: int = 2, least_context: int = 8, least_pair: int = 2, beta: float = 1.0, cost: float = 0.5, group_bytes: int = 4 << 20, owner_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from the rows outside the held-out fold.
 
     Tokens are the words between ASCII blanks, A-Z lower-cased, and one end; a null text is empty and has the end only.
@@ -170,7 +188,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners, settings = groups.owners, {"least_context": least_context, "least_pair": least_pair, "beta": beta}
 
     def ask_words(docs_: tuple, _: dict, gid: int) -> dict:
-        t = Tokens(docs_, WordHash())
+        t = Tokens(docs_)
         n = np.bincount(t.at, t.train, len(t.words)).astype(np.uint32)
         at = cuts(t.words, owners)
         return {o: (planes(t.words[at[o] : at[o + 1]]), planes(n[at[o] : at[o + 1]])) for o in range(owners) if at[o + 1] > at[o]}
@@ -179,11 +197,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = groups.sums(answers)
     settings["totals"] = (int(sums[0]), int(sums[1]))
     for d in range(1, depth + 1):
-        asked = groups.ask(answers, lambda docs_, got, gid, d=d: Scorer(docs_, got, owners, settings, WordHash()).lists(d))
+        asked = groups.ask(answers, lambda docs_, got, gid: Scorer(docs_, got, owners, settings).lists())
         answers = answers.unionByName(groups.answer(asked, d, lambda got, gids: test_contexts(got, beta, least_pair, cost)))
 
     def scores(docs_: tuple, got: dict, gid: int) -> pd.DataFrame:
-        s = Scorer(docs_, got, owners, settings, WordHash())
+        s = Scorer(docs_, got, owners, settings)
         t, n = s.t, len(s.t.lens)
         add = lambda x: np.bincount(t.doc, x, n)
         return pd.DataFrame({"doc_id": pd.array(t.ids, "Int64"), "held_out": [bool(x) for x in docs_[1]], "n_tokens": t.lens.astype(np.int64), "n_known": add(s.c[t.at] > 0).astype(np.int64), "train_tokens": settings["totals"][0], "base_score": add(np.log10(s.base)), "score": add(np.log10(s.p))})
