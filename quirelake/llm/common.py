@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,26 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+_B, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    up, down = (np.full(1 << bits, x, np.uint64) for x in (_B, _INVERSE))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n values of h, which are hashes themselves, at a cost that doesn't grow with n."""
+    if len(h) < n:
+        return h[:0]
+    up, down = _powers(max(10, (len(h)).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+    return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -9,6 +9,7 @@ each part's suffix tree as a sorted array with common-prefix lengths, and takes
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, grams
+from .common import WordHash, rolling
 from .exact_dedup import rice_decode, rice_encode
 from .groups import Groups, cuts, planes, unplanes
 
 BITS = 48
+#: Bits for a word's place in its group: a group has fewer words than that, or more by a single document only.
+PLACE = 27
 LAST = np.iinfo(np.int64).max
 
 
@@ -61,30 +64,29 @@ class Windows:
 
     def __init__(self, docs: tuple, width: int, seed_width: int):
         self.ids, _, texts = docs
-        self.width, hashes = width, WordHash()
+        self.width = width
         self.words = [t.split() for t in texts]
-        self.lens = np.array([len(w) for w in self.words])
-        hs, anchors, wins, doc, start, base = [], [], [], [], [], 0
-        for i, words in enumerate(self.words):
-            if len(words) >= width:
-                h = hashes.of(words)
-                seeds = grams(h, seed_width)
-                near = sliding_window_view(seeds, width - seed_width + 1).argmin(axis=1)
-                at = np.arange(len(near)) + near
-                anchors.append((at + base, seeds[at] >> np.uint64(64 - BITS)))
-                wins.append(grams(h, width))
-                doc.append(np.full(len(at), i))
-                start.append(np.arange(len(at)))
-                hs.append(h)
-                base += len(h)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.h = join(hs, np.uint64)
-        self.place, self.anchor = join([a for a, _ in anchors], np.int64), join([a for _, a in anchors], np.uint64)
-        self.win, self.doc, self.start = join(wins, np.uint64), join(doc, np.int64), join(start, np.int64)
-        own = np.flatnonzero(self.lens >= width)
-        offset = np.zeros(len(self.lens), np.int64)
-        offset[own] = np.concatenate(([0], np.cumsum(self.lens[own])[:-1])) if len(own) else 0
-        self.at = offset[self.doc] + self.start  # the window's first word in h
+        self.lens = np.array([len(w) for w in self.words], np.int64)
+        self.begin = np.cumsum(self.lens) - self.lens  # of each document among the group's words
+        self.h = WordHash().of([w for words in self.words for w in words])
+        n = max(0, len(self.h) - width + 1)
+        doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else np.zeros(0, np.int64)  # first words of the windows
+        self.doc = doc[self.at]
+        self.start = self.at - self.begin[self.doc]
+        self.win = rolling(self.h, width)[self.at]
+        # the least seed of each window, the first of equal ones: the place stands in the low bits
+        seeds = rolling(self.h, seed_width)
+        places = np.uint64((1 << PLACE) - 1)
+        keys = seeds & ~places | np.arange(len(seeds), dtype=np.uint64)
+        span, size = width - seed_width + 1, 1
+        while 2 * size <= span:
+            keys = np.minimum(keys[:-size], keys[size:])
+            size *= 2
+        rest = span - size
+        keys = np.minimum(keys[: len(keys) - rest], keys[rest:])
+        self.place = (keys[self.at] & places).astype(np.int64)
+        self.anchor = seeds[self.place] >> np.uint64(64 - BITS)
 
     def lists(self, owners: int) -> dict[int, bytes]:
         """The distinct anchors, Rice-coded for each owner."""
@@ -145,19 +147,10 @@ class Windows:
             at = np.repeat(self.run[a:b] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             self.flag[at] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(at)).astype(bool)
 
-    def spans(self) -> list[np.ndarray]:
-        """For each document whether each word stays."""
-        out = [np.ones(n, bool) for n in self.lens]
-        edges: dict[int, np.ndarray] = {}
-        hit = np.flatnonzero(self.flag)
-        for d in np.unique(self.doc[hit]).tolist():
-            edges[d] = np.zeros(self.lens[d] + 1, np.int64)
-        for d, rows in pd.Series(hit).groupby(self.doc[hit]):
-            edge = edges[d]
-            np.add.at(edge, self.start[rows], 1)
-            np.add.at(edge, self.start[rows] + self.width, -1)
-            out[d] = np.cumsum(edge)[:-1] == 0
-        return out
+    def spans(self) -> np.ndarray:
+        """For each word of the group whether it stays."""
+        hit, n = self.at[self.flag], len(self.h) + 1
+        return np.cumsum(np.bincount(hit, minlength=n) - np.bincount(hit + self.width, minlength=n))[:-1] == 0
 
 
 def shared_anchors(lists: list) -> list:
@@ -200,7 +193,7 @@ def repeated_windows(lists: list, gids: list[int], width: int, most: int) -> lis
     return [np.packbits(flag[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, group_bytes: int = 6 << 20, owner_bytes: int = 24 << 20, most_suffixes: int = 200_000, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, group_bytes: int = 4 << 20, owner_bytes: int = 10 << 20, most_suffixes: int = 100_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if with_text) for each row.
 
     A window is width consecutive words (between ASCII blanks, unchanged) of one document. Every word goes that lies in a
@@ -228,8 +221,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         w.candidates(got.get(0, {}), owners)
         w.repeats(got.get(1, {}))
         stays = w.spans()
-        kept = [b" ".join(words if k.all() else [x for x, y in zip(words, k.tolist(), strict=True) if y]) for words, k in zip(w.words, stays, strict=True)]
-        out = {"doc_id": pd.array(w.ids, "Int64"), "n_words": w.lens.astype(np.int64), "n_removed": np.array([int((~k).sum()) for k in stays], np.int64), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+        removed = np.add.reduceat(np.append(~stays, False), w.begin) * (w.lens > 0) if len(w.lens) else w.lens
+        keep = [stays[b : b + n].tolist() if r else None for b, n, r in zip(w.begin, w.lens, removed, strict=True)]
+        kept = [b" ".join(words if k is None else compress(words, k)) for words, k in zip(w.words, keep, strict=True)]
+        out = {"doc_id": pd.array(w.ids, "Int64"), "n_words": w.lens.astype(np.int64), "n_removed": removed.astype(np.int64), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pd.DataFrame(out | ({"kept_text": [x.decode() for x in kept]} if with_text else {}))
 
     return groups.finish(answers, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
