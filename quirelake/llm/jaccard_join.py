@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, grams, keep_rows, materialize, mix, slices, text_of
+from .common import WordHash, as_bytes, grams, keep_rows, materialize, mix, slices, small_enough, text_of
 
 
 def shingles(words: list[bytes], n: int, hashes: WordHash) -> np.ndarray:
@@ -207,7 +207,7 @@ def verify_blocks(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(links, "rid long, links long, low long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, target: float = 0.999, depth: int = 4, extra: float = 0.25, small: int = 128, brute: int = 4096, size: int = 64, block: int = 1024, seed: int = 13) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, target: float = 0.999, depth: int = 4, extra: float = 0.25, small: int = 128, brute: int = 4096, size: int = 64, block: int = 1024, seed: int = 13, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, class_id, rep_id, n_links, n_shingles; class_row, mark and rid tell class and row apart where ids don't.
 
     Shingles are runs of shingle words (between ASCII blanks, unchanged); a shorter text is one shingle. rep_id: the
@@ -219,6 +219,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     target: the recall at the threshold; runs are added until it is reached (pairs that are more alike meet more surely).
     small: classes of a node compared by brute force; larger nodes recurse down to depth, where nodes up to brute are
     compared still and larger ones are one group as they are. block: classes of a group that are compared at a time.
+    broadcast_bytes: the list of the groups' members is broadcast up to that size, beyond it the join is shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(text_of(text_col)).alias("mark"), F.monotonically_increasing_id().alias("rid"))
@@ -262,7 +263,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = x.join(y, fits).select(F.col("x.comp").alias("comp"), F.col("x.block").alias("p"), F.col("y.block").alias("q"), F.xxhash64("x.comp", "x.block", "y.block").alias("pair"))
     side = pairs.select("comp", "pair", F.col("p").alias("block"), F.when(F.col("p") == F.col("q"), 2).otherwise(0).alias("side"))
     side = side.unionByName(pairs.where("p < q").select("comp", "pair", F.col("q").alias("block"), F.lit(1).alias("side")))
-    bodies = placed.join(signed.select("rid", "body"), "rid")
+    # texts move only for members of groups, where their list is small enough to be sent to the texts
+    bodies = signed.select("rid", "body").join(small_enough(placed, 64, broadcast_bytes), "rid")
     exact = materialize(verify_blocks(bodies.join(side, ["comp", "block"]), shingle, threshold), "join-exact")
     links = exact.groupBy("rid").agg(F.sum("links").alias("links"))
     linked = components(exact.select(F.col("rid").alias("a"), F.col("low").alias("b")), "join-links")
