@@ -175,9 +175,12 @@ def repeated_windows(lists: list, gids: list[int], width: int, most: int) -> lis
     before = np.cumsum(size) - size
     inner = np.arange(int(size.sum())) - np.repeat(before, size)
     begin = np.repeat(np.cumsum(size + width - 1) - (size + width - 1), size) + inner
-    order = np.lexsort((np.repeat(start, size) + inner, np.repeat(doc, size), np.repeat(group, size), np.repeat(ids, size), np.repeat(nulls, size)))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    # runs of one document never share a window, so their order and the place within a run order all windows
+    order = np.lexsort((start, doc, group, ids, nulls))
+    of = np.empty(len(order), np.int64)
+    of[order] = np.arange(len(order))
+    rank = np.repeat(of << 32, size) + inner
+    del ids, nulls, doc, start, group, order, of, inner, number
     flag, view = np.zeros(len(begin), bool), sliding_window_view(words, width)
     # parts by the first word, so that no more than a part's suffixes are spread out at a time
     by = np.argsort(words[begin], kind="stable")
