@@ -330,6 +330,21 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.where("doc_id > 99"), bench).count() == 0
 
 
+def found_leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect())
+
+
+def test_leaks_whatever_stands_before(spark):
+    """The start of a passage or sentence is no other token for what precedes it."""
+    short = "Every green parrot sings loudly over the old stone bridge"
+    question = "Tom has 5 apples and some pears. Tom eats 2. How many apples does he keep"
+    named = question.replace("Tom", "Anna").replace("5", "7").replace("2", "3")
+    texts = [f"it goes on with {short} and so on", f"so {short.lower()} again", f"End. {named}", f"and then {named}", "Every green parrot sings loudly over the new stone bridge"]
+    assert found_leaks(spark, [short, question], texts) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+
+
 # language model
 
 
