@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders; windows of template tokens, and of the words themselves, are
-hash-joined with the benchmark's; an alignment counts if its slots agree: each value of the item stands for one value in the document and the other way
-round. So verbatim copies and questions with other parameters are found alike.
+hash-joined with the benchmark's; an alignment counts by its runs of windows whose slots agree: each value of the item stands for one value in the document.
+So verbatim copies and questions with other parameters are found alike.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialize, rolling, slices, small_enough, text_of
@@ -122,10 +122,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A pair needs, along one alignment, enough common windows of window tokens (13 tokens in a row by default; all
     windows of a shorter item) and consistent slots. Windows are common if their words are the same but for case and
     punctuation at the edges, or their templates. A template is made twice: with capitalised words at the start of
-    sentences as plain words, and as names; slots are judged for each. Items of fewer than window tokens are one window;
-    those of fewer than least tokens match nothing, as do null texts. Windows with more placeholders than words have no
-    template, only their words. Of several alignments the longest is told, then the first. Repeated document rows give repeated pairs, repeated items
-    one. Other columns are ignored. No benchmark or no documents: no rows.
+    sentences as plain words, and as names; slots are judged for each, run by run of words that common windows cover: a
+    run in which an item's value stands for two values is left out, with all its windows. Items of fewer than window
+    tokens are one window; those of fewer than least tokens match nothing, as do null texts. Windows with more
+    placeholders than words have no template, only their words. Of several alignments the longest is told, then the
+    first. Repeated document rows give repeated pairs, repeated items one. Other columns are ignored. No benchmark or no
+    documents: no rows.
 
     The benchmark may have any size: documents are first filtered through 2^filter_bits bits set by its windows, which is
     all that is broadcast; a full filter only lets more windows through to the join.
@@ -168,8 +170,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = rows.mapInArrow(cut, f"rid long, doc_id {kind}, text_hash long, pos int, h long, slots {SLOTS}")
     bench = small_enough(bench, 200, 8 << 20)
     pairs = F.expr("transform(islots, s -> struct(s.k AS k, s.v AS i, slots[array_position(transform(slots, d -> d.p - pos), s.p - ipos) - 1].v AS d))")
-    same = found.join(bench, "h").withColumn("pairs", pairs)
-    lines = same.groupBy("rid", "doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "line").agg(
+    line = ["rid", "doc_id", "text_hash", "item_id", "shift", "line"]
+    same = found.join(bench, "h").withColumn("pairs", pairs).withColumn("shift", F.col("pos") - F.col("ipos"))
+    order = Window.partitionBy(line).orderBy("ipos", "exact")
+    same = same.withColumn("gap", F.when(F.col("ipos") - F.lag("ipos").over(order) > F.col("n"), 1).otherwise(0))
+    same = same.withColumn("run", F.sum("gap").over(order))
+    runs = same.groupBy(*line, "run").agg(
         F.size(F.collect_set("ipos")).alias("n_windows"),
         F.size(F.collect_set(F.when(~F.col("exact"), F.col("ipos")))).alias("n_templates"),
         F.min("item_windows").alias("item_windows"),
@@ -178,9 +184,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.max(F.col("pos") + F.col("n")).alias("end_word"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
-    one_way = "size(array_distinct(transform(pairs, x -> struct(x.k, x.{0})))) = size(pairs)"
+    one_way = "size(array_distinct(transform(pairs, x -> struct(x.k, x.i)))) = size(pairs)"
+    lines = runs.where(one_way).groupBy(line).agg(
+        *[F.sum(x).alias(x) for x in ("n_windows", "n_templates")],
+        *[F.min(x).alias(x) for x in ("item_windows", "templates", "start_word")],
+        F.max("end_word").alias("end_word"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    )
     lines = lines.where((F.col("n_windows") >= F.least(F.lit(enough), "item_windows")) | (F.col("n_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(enough), "templates")))
-    lines = lines.where(one_way.format("i")).where(one_way.format("d"))
     lines = lines.withColumns({"n_slots": F.size("pairs"), "n_changed": F.expr("size(filter(pairs, x -> x.i != x.d))")})
     names = ["n_windows", "start_word", "end_word", "n_slots", "n_changed", "item_windows"]
     best = F.max_by(F.struct(*names), F.struct("n_windows", -F.col("start_word"), -F.col("line")))

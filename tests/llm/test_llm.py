@@ -345,6 +345,16 @@ def test_leaks_whatever_stands_before(spark):
     assert found_leaks(spark, [short, question], texts) == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
 
+def test_leaks_by_run(spark):
+    """Two values may become one, and a run whose slots disagree takes no other run with it."""
+    equal = "the shop had 5 apples and 3 pears in it when we came"
+    first = "a train left town at 60 km per hour and met another one that came at 60 km per hour later on"
+    second = "while the quick brown fox jumps over the lazy dog and seven green parrots sing all day"
+    item = f"{first} so they say and all agree with it {second}"
+    text = f"{first.replace('60', '80', 1)} as it was told by some people here {second}"
+    assert found_leaks(spark, [equal, item], [equal.replace("5", "4").replace("3", "4"), text.replace("by some", "some"), text]) == [(0, 0), (1, 1), (2, 1)]
+
+
 # language model
 
 
