@@ -97,12 +97,12 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
             rows = []
             for item, text in zip(batch.column("item_id").to_pylist(), as_bytes(batch.column("t")), strict=True):
                 words = text.split()
-                if len(words) >= least:
+                if words:
                     n = min(window, len(words))
                     exact, templates = canon.forms(words)
                     whole = (_windows(exact, n) ^ EXACT).astype(np.int64).tolist()
                     for line, (h, kind) in enumerate(templates):
-                        good, hashes = _worded(kind, n), _windows(h, n).astype(np.int64).tolist()
+                        good, hashes = _worded(kind, n) & (len(words) >= least), _windows(h, n).astype(np.int64).tolist()
                         told = (item, n, len(whole), int(good.sum()), line)
                         rows += [(*told, int(i), False, hashes[i], _slots(words, kind, i, n)) for i in np.flatnonzero(good)]
                         rows += [(*told, i, True, w, []) for i, w in enumerate(whole)]
@@ -124,8 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     punctuation at the edges, or their templates. A template is made twice: with capitalised words at the start of
     sentences as plain words, and as names; slots are judged for each, run by run of words that common windows cover: a
     run in which an item's value stands for two values is left out, with all its windows. Items of fewer than window
-    tokens are one window; those of fewer than least tokens match nothing, as do null texts. Windows with more
-    placeholders than words have no template, only their words. Of several alignments the longest is told, then the
+    tokens are one window. Windows with more placeholders than words and items of fewer than least tokens have no
+    template, only their words: an item of one word is found wherever that word is. Null and blank texts match nothing. Of several alignments the longest is told, then the
     first. Repeated document rows give repeated pairs, repeated items one. Other columns are ignored. No benchmark or no
     documents: no rows.
 
@@ -157,6 +157,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     for hashes, kinds, used in ((first, kind, _worded(kind, n)), (second, kind_all, _worded(kind_all, n) & (second != first)), (_windows(exact, n) ^ EXACT, None, True)):
                         key = hashes >> np.uint64(64 - filter_bits)
                         hit = np.flatnonzero((packed[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & used)
+                        if kinds is None and n < window and len(hit):  # whole items, told by their first place
+                            hit = np.sort(hit[np.unique(hashes[hit], return_index=True)[1]])
                         if len(hit):
                             row += [i] * len(hit)
                             pos += hit.tolist()

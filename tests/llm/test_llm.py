@@ -355,6 +355,13 @@ def test_leaks_by_run(spark):
     assert found_leaks(spark, [equal, item], [equal.replace("5", "4").replace("3", "4"), text.replace("by some", "some"), text]) == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_leaks_without_template(spark):
+    """Items of numbers, of names and of few words are found as they are written."""
+    items = ["12 + 34 = 46 56 - 7 = 49 8 * 9 = 72", "The Old Man And The Sea Of Green Parrots From Paris", "4 + 5 = 9", "green parrots sing"]
+    texts = [f"before it {x} after it" for x in items]
+    assert found_leaks(spark, items, [*texts, texts[1].replace("Old", "New"), texts[2].replace("5", "6"), "green birds sing", "green parrots sing, and Green parrots sing!"]) == [(0, 0), (1, 1), (2, 2), (3, 3), (7, 3)]
+
+
 # language model
 
 
