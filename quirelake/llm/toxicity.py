@@ -1,8 +1,9 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-Terms are lower-cased words and their beginnings, hashed. Terms whose presence differs between toxic and other documents
-of the training sample get a weight and a vector of factors; the products of the factors score pairs of terms, which a
-sum of single weights can't.
+Terms are lower-cased words and their beginnings, hashed. Terms in a few documents of the training sample get a weight and
+a vector of factors; the products of the factors score pairs of terms, which a sum of single weights can't. Terms whose
+presence doesn't differ between toxic and other documents learn in smaller steps, but they learn: a pair may tell what
+neither of its terms does.
 """
 
 from __future__ import annotations
@@ -52,10 +53,10 @@ class Terms(dict):
 class FactorMachine:
     """bias + sum of weights + sum over pairs of <factors, factors>, through a sigmoid, on sets of terms."""
 
-    def __init__(self, terms: np.ndarray, factors: int, seed: int):
-        self.terms, self.bias = terms, 0.0
+    def __init__(self, terms: np.ndarray, telling: np.ndarray, factors: int, seed: int):
+        self.terms, self.telling, self.bias = terms, telling, 0.0
         self.w = np.zeros(len(terms))
-        self.v = np.random.default_rng(seed).normal(0, 0.05, (len(terms), factors))
+        self.v = np.random.default_rng(seed).normal(0, 1, (len(terms), factors)) * np.where(telling, 0.05, 0.01)[:, None]
 
     def margin(self, rows: list[list[int]]) -> np.ndarray:
         out = np.full(len(rows), self.bias)
@@ -71,7 +72,8 @@ class FactorMachine:
     def train(self, rows: list[list[int]], y: np.ndarray, *, epochs: int, rate: float, decay: float, seed: int) -> None:
         """AdaGrad on the log loss, batch by batch in a seeded order."""
         rng, size = np.random.default_rng(seed), 64
-        gw, gv, gb = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
+        start, shrink = np.where(self.telling, 1e-6, 1.0), np.where(self.telling, decay, 10 * decay)  # other terms start with small steps: many are in a few rows only
+        gw, gv, gb = start.copy(), np.repeat(start[:, None], self.v.shape[1], axis=1), 1e-6
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), size):
@@ -79,31 +81,35 @@ class FactorMachine:
                 lens = np.array([len(rows[i]) for i in part])
                 x = np.concatenate([np.asarray(rows[i], np.int64) for i in part])
                 row = np.repeat(np.arange(len(part)), lens)
-                sums = np.zeros((len(part), self.v.shape[1]))
-                np.add.at(sums, row, self.v[x])
-                margin = self.bias + np.bincount(row, self.w[x], len(part)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (self.v[x] ** 2).sum(axis=1), len(part)))
+                used, place = np.unique(x, return_inverse=True)  # only these terms' weights move
+                w, v = self.w[used], self.v[used]
+                vx = v[place]
+                sums = totals(row, vx, len(part))
+                margin = self.bias + np.bincount(row, w[place], len(part)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (vx**2).sum(axis=1), len(part)))
                 err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]) / len(part)
-                dw, dv = np.zeros_like(self.w), np.zeros_like(self.v)
-                np.add.at(dw, x, err[row])
-                np.add.at(dv, x, err[row, None] * (sums[row] - self.v[x]))
-                used = np.unique(x)
-                dw[used] += decay * self.w[used]
-                dv[used] += decay * self.v[used]
-                gw += dw**2
-                gv += dv**2
+                dw = np.bincount(place, err[row], len(used)) + shrink[used] * w
+                dv = totals(place, err[row, None] * (sums[row] - vx), len(used)) + shrink[used, None] * v
+                gw[used] += dw**2
+                gv[used] += dv**2
                 gb += err.sum() ** 2
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= rate * 0.3 * dv / np.sqrt(gv)
+                self.w[used] -= rate * dw / np.sqrt(gw[used])
+                self.v[used] -= rate * 0.3 * dv / np.sqrt(gv[used])
                 self.bias -= rate * err.sum() / gb**0.5
 
 
-def telling_terms(rows: list[list[int]], y: np.ndarray, bits: int, least: int, z: float) -> np.ndarray:
-    """Terms in at least least rows whose share of the two classes differs by z standard errors or more."""
-    counts = [np.bincount(np.concatenate([np.asarray(x, np.int64) for x, t in zip(rows, y, strict=True) if t == c] or [np.zeros(0, np.int64)]), minlength=1 << bits) for c in (0, 1)]
+def totals(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values that share a place in 0..n-1."""
+    return np.stack([np.bincount(at, c, n) for c in values.T], axis=1)
+
+
+def seen_terms(rows: list[np.ndarray], y: np.ndarray, bits: int, least: int, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in at least least rows, and which of them tell by themselves: their share of the two classes differs by z standard errors or more."""
+    counts = [np.bincount(np.concatenate([x for x, t in zip(rows, y, strict=True) if t == c] or [np.zeros(0, np.int64)]), minlength=1 << bits) for c in (0, 1)]
     n = [max(1, int((y == c).sum())) for c in (0, 1)]
     p = (counts[0] + counts[1]) / len(rows)
     gap = np.abs(counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-    return np.flatnonzero((counts[0] + counts[1] >= least) & (gap >= z))
+    seen = np.flatnonzero(counts[0] + counts[1] >= least)
+    return seen, gap[seen] >= z
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 5, sample: int = 10_000, bits: int = 20, factors: int = 8, least: int = 3, z: float = 5.0, epochs: int = 40, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> FactorMachine:
@@ -120,11 +126,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     got = got.sort_by("id")  # the same order in each run
     y = np.array(got.column("y").to_pylist(), np.int64)
     x = [v.values.to_numpy(zero_copy_only=False) for v in got.column("x")]
-    keep = telling_terms(x, y, bits, least, z) if len(y) else np.zeros(0, np.int64)
+    keep, telling = seen_terms(x, y, bits, least, z) if len(y) else (np.zeros(0, np.int64), np.zeros(0, bool))
     place = np.full(1 << bits, -1)
     place[keep] = np.arange(len(keep))
     x = [(p := place[v])[p >= 0].tolist() for v in x]
-    model = FactorMachine(keep, factors, seed)
+    model = FactorMachine(keep, telling, factors, seed)
     rate_1 = (y.sum() + 0.5) / (len(y) + 1)
     model.bias = float(np.log(rate_1 / (1 - rate_1)))
     if 0 < y.sum() < len(y):

@@ -269,6 +269,20 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.where("doc_id < -1"), model).count() == 0
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """No term tells by itself: either pair of the same kind is toxic, mixed ones aren't."""
+    rng, rows = random.Random(7), []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"n{rng.randrange(300)}" for _ in range(12)] + ["oaf" if a else "dear", "glorps" if b else "tables"]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(a == b)))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, _ in rows], DOCS)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, toxicity.learn_toxicity(df, labelled(spark, rows, "toxic"))).collect()}
+    held = [got[i].predicted == y for i, _, y in rows if got[i].held_out]
+    assert len(held) > 150 and np.mean(held) > 0.95, np.mean(held)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = lambda: prose(rng, 12).capitalize() + "."
