@@ -47,3 +47,9 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_ask_every_document(spark):
+    """Documents of any id are answered, if one of their chunks scores 0 or more."""
+    got = [r.doc_id for r in registry.QUERIES["ask_documents"](spark, DATA).select("doc_id").collect()]
+    assert len(got) == len(set(got)) and min(got) < 50 and sum(i >= 50 for i in got) > 50, len(got)
