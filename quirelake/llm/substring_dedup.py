@@ -1,82 +1,82 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
 Only suffixes that can start a repeat travel: a window of words is told by its anchor (its least hash of a few words, the
-same in every copy), and anchors that occur once in the corpus rule their windows out. The owner of an anchor range gets
-the others as runs of words; it splits their suffixes by prefixes, made longer until a part fits the memory limit, builds
-each part's suffix tree as a sorted array with common-prefix lengths, and takes the nodes at least a window deep.
+same in every copy), and anchors that occur once in the corpus rule their windows out. The others go, as runs of words, to
+the owner of their anchor's range; windows of an anchor too frequent for one owner are dealt by a longer prefix, the whole
+window. An owner takes its range in parts of bounded words and builds each part's suffix tree as a suffix array with
+common-prefix lengths: leaves below an internal node at least a window deep are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, rolling
+from .common import rolling
 from .exact_dedup import rice_decode, rice_encode
-from .groups import Groups, cuts, planes, unplanes
+from .groups import Groups, Packed, Places, cuts, planes, unplanes
 
 BITS = 48
-#: Bits for a word's place in its group: a group has fewer words than that, or more by a single document only.
-PLACE = 27
+#: Bits for a word's place in its group, below those of its seed's hash that choose the anchor.
+PLACE = 36
+#: Parts of an owner's range.
+SLOTS = 256
 LAST = np.iinfo(np.int64).max
 
 
-def deep_nodes(words: np.ndarray, rank: np.ndarray, most: int, depth: int = 0) -> np.ndarray:
-    """Of suffixes (rows of words, as deep as a window) those that equal one of lower rank in full.
+def suffix_tree(words: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of at least width words, sorted, and the common-prefix length of each with the one before (0 for the first).
 
-    Suffixes are split by their next word; prefixes that together have most suffixes at most form one part, a larger one
-    is split by a longer prefix. In a part's tree (sorted suffixes, common-prefix lengths of neighbours) the leaves below
-    a node of full depth are equal: all but the first are repeats.
+    words: the words of all texts, one after the other; left: how many words the suffix at each place has, to the end of
+    its text. Ranks by the first 1, 2, 4, ... words are made from those by half as many, up to the longest suffix; these
+    also give the common prefixes, the longest power of two first.
     """
-    out, full = np.zeros(len(words), bool), words.shape[1]
-    if len(words) > most and depth < full:
-        order = np.argsort(words[:, depth], kind="stable")
-        sorted_ = words[order, depth]
-        begins = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        ends = np.append(begins[1:], len(words))
-        at = 0
-        while at < len(begins):
-            stop = max(at + 1, int(np.searchsorted(ends, begins[at] + most, "right")))
-            part = order[begins[at] : ends[stop - 1]]
-            out[part] = deep_nodes(words[part], rank[part], most, depth + 1 if stop == at + 1 else depth)
-            at = stop
-        return out
-    if len(words) < 2:
-        return out
-    rows = np.ascontiguousarray(words.astype(">u4")).view(np.dtype((np.void, 4 * full))).ravel()
-    order = np.argsort(rows, kind="stable")
-    differ = words[order[1:]] != words[order[:-1]]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), full)
-    node = np.concatenate(([True], common < full))
-    first = np.minimum.reduceat(rank[order], np.flatnonzero(node))
-    out[order] = rank[order] != first[np.cumsum(node) - 1]
+    ranks, k, most = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 1, int(left.max(initial=1))
+    while k < most:
+        after = np.zeros(len(words), np.int64)
+        at = np.flatnonzero(left > k)
+        after[at] = ranks[-1][at + k] + 1
+        ranks.append(np.unique(ranks[-1] * (len(words) + 1) + after, return_inverse=True)[1])
+        k *= 2
+    order = np.flatnonzero(left >= width)
+    order = order[np.argsort(ranks[-1][order], kind="stable")]
+    a, b = order[:-1].copy(), order[1:].copy()
+    common, short = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
+    for i in range(len(ranks) - 1, -1, -1):
+        at = np.flatnonzero(short - common >= 1 << i)
+        common[at[ranks[i][a[at] + common[at]] == ranks[i][b[at] + common[at]]]] += 1 << i
+    return order, np.concatenate(([0], common)) if len(order) else common
+
+
+def repeats(words: np.ndarray, left: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix of width words or more whether, by its first width words, it equals one of lower rank (rank: one for each place)."""
+    order, common = suffix_tree(words, left, width)
+    out = np.zeros(len(words), bool)
+    if len(order):
+        node = np.flatnonzero(common < width)  # where the leaves below another node of that depth begin
+        first = np.minimum.reduceat(rank[order], node)
+        out[order] = rank[order] != np.repeat(first, np.diff(np.append(node, len(order))))
     return out
 
 
 class Windows:
     """A group's words and windows: hashes, anchors, and after the first answers the runs that other groups must see."""
 
-    def __init__(self, docs: tuple, width: int, seed_width: int):
-        self.ids, _, texts = docs
-        self.width = width
-        self.words = [t.split() for t in texts]
-        self.lens = np.array([len(w) for w in self.words], np.int64)
-        self.begin = np.cumsum(self.lens) - self.lens  # of each document among the group's words
-        self.h = WordHash().of([w for words in self.words for w in words])
-        n = max(0, len(self.h) - width + 1)
-        doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        self.at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else np.zeros(0, np.int64)  # first words of the windows
-        self.doc = doc[self.at]
-        self.start = self.at - self.begin[self.doc]
-        self.win = rolling(self.h, width)[self.at]
+    def __init__(self, t: Packed, width: int, seed_width: int):
+        self.t, self.width = t, width
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, t.words), np.uint64, len(t.words))[t.at] if len(t.words) else np.zeros(0, np.uint64)
+        n = max(0, len(h) - width + 1)
+        self.at = np.flatnonzero(t.doc[:n] == t.doc[width - 1 :]) if n else np.zeros(0, np.int64)  # first words of the windows
+        self.doc = t.doc[self.at]
+        self.start = self.at - t.begin[self.doc]
+        self.win = rolling(h, width)[self.at]
         # the least seed of each window, the first of equal ones: the place stands in the low bits
-        seeds = rolling(self.h, seed_width)
+        seeds = rolling(h, seed_width)
         places = np.uint64((1 << PLACE) - 1)
         keys = seeds & ~places | np.arange(len(seeds), dtype=np.uint64)
         span, size = width - seed_width + 1, 1
@@ -88,56 +88,62 @@ class Windows:
         self.place = (keys[self.at] & places).astype(np.int64)
         self.anchor = seeds[self.place] >> np.uint64(64 - BITS)
 
-    def lists(self, owners: int) -> dict[int, bytes]:
-        """The distinct anchors, Rice-coded for each owner."""
+    def lists(self, owners: int) -> dict[int, tuple]:
+        """The distinct anchors, Rice-coded for each owner, and at how many places each occurs."""
         self.distinct, where = np.unique(self.anchor, return_inverse=True)
-        first = np.full(len(self.distinct), -1)
-        first[where[::-1]] = self.place[::-1]
-        self.several = np.bincount(where, self.place != first[where], len(self.distinct)) > 0
+        anchors = np.flatnonzero(np.concatenate((np.ones(min(1, len(where)), bool), self.place[1:] != self.place[:-1])))  # a place's windows stand together
+        self.count = np.bincount(where[anchors], minlength=len(self.distinct))
         self.where, self.cut = where, cuts(self.distinct, owners, BITS)
         width = (1 << BITS) // owners + 1
-        return {o: rice_encode(self.distinct[a:b] - np.uint64(o * width)) for o, (a, b) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)) if b > a}
+        return {o: (rice_encode(self.distinct[a:b] - np.uint64(o * width)), planes(self.count[a:b].astype(np.uint32))) for o, (a, b) in enumerate(zip(self.cut[:-1], self.cut[1:], strict=True)) if b > a}
 
     def candidates(self, got: dict, owners: int) -> None:
         """Windows whose anchor occurs at two places of the corpus; of equal ones within the group only the first goes on, the others are repeats."""
         self.lists(owners)
-        seen = self.several.copy()
-        for o, bitmap in got.items():
+        seen, hot = self.count > 1, np.zeros(len(self.distinct), bool)
+        for o, bitmaps in got.items():
             a, b = self.cut[o : o + 2]
-            seen[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
+            for flags, bitmap in zip((seen, hot), bitmaps, strict=True):
+                flags[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=b - a).astype(bool)
         self.flag = np.zeros(len(self.win), bool)
         live = np.flatnonzero(seen[self.where])
-        ids = np.array([LAST if x is None else x for x in self.ids], np.int64)
-        nulls = np.array([x is None for x in self.ids], bool)
+        self.ids = ids = np.array([LAST if x is None else x for x in self.t.ids], np.int64)
+        self.nulls = nulls = np.array([x is None for x in self.t.ids], bool)
         order = live[np.lexsort((self.start[live], self.doc[live], ids[self.doc[live]], nulls[self.doc[live]], self.win[live]))]
         first = np.concatenate(([True], self.win[order[1:]] != self.win[order[:-1]])) if len(order) else np.zeros(0, bool)
         lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
         same = np.ones(len(order), bool)
         for k in range(self.width):
-            same &= self.h[self.at[order] + k] == self.h[self.at[lead] + k]
+            same &= self.t.at[self.at[order] + k] == self.t.at[self.at[lead] + k]
         self.flag[order[~first & same]] = True
         go = np.zeros(len(self.win), bool)
         go[order[first | ~same]] = True
-        # runs: neighbouring windows of one anchor
+        # runs: neighbouring windows of one anchor; windows of frequent anchors are alone
         at = np.flatnonzero(go)
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (self.place[at[1:]] != self.place[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])
+        new = hot[self.where[at]]
+        if len(at):
+            new[0] = True
+        new[1:] |= (at[1:] != at[:-1] + 1) | (self.place[at[1:]] != self.place[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(at)))
-        order = np.argsort(self.anchor[at[begin]], kind="stable")
-        self.run, self.size = at[begin][order], size[order]
-        self.run_cut = cuts(self.anchor[self.run], owners, BITS)
-        self.order_ids, self.order_nulls = ids, nulls
+        key = np.where(hot[self.where[at[begin]]], self.win[at[begin]] >> np.uint64(64 - BITS), self.anchor[at[begin]])
+        order = np.argsort(key, kind="stable")
+        self.run, self.size, self.key = at[begin][order], size[order], key[order]
+        self.run_cut = cuts(self.key, owners, BITS)
 
     def runs(self, owners: int) -> dict[int, tuple]:
-        out = {}
+        out, width, names = {}, (1 << BITS) // owners + 1, np.array(self.t.words, object)
         for o in range(owners):
             a, b = self.run_cut[o : o + 2]
             if b > a:
                 run, size = self.run[a:b], self.size[a:b]
-                doc, start = self.doc[run], self.start[run]
-                text = b"\n".join(b" ".join(self.words[d][s : s + n]) for d, s, n in zip(doc.tolist(), start.tolist(), (size + self.width - 1).tolist(), strict=True))
-                out[o] = (planes(self.order_ids[doc]), planes(self.order_nulls[doc]), planes(doc.astype(np.int32)), planes(start.astype(np.int32)), planes(size.astype(np.int32)), text)
+                slot = (self.key[a:b] - np.uint64(o * width)).astype(np.int64) * SLOTS // width
+                long = size + self.width - 1
+                at = self.t.at[np.repeat(self.at[run] - np.cumsum(long) + long, long) + np.arange(int(long.sum()))]
+                used, at = np.unique(at, return_inverse=True)
+                doc = self.doc[run]
+                told = (slot.astype(np.uint8), self.ids[doc], self.nulls[doc], doc.astype(np.int32), self.start[run], size.astype(np.uint32), at.astype(np.uint32))
+                out[o] = (b" ".join(names[used]), *map(planes, told))
         return out
 
     def repeats(self, got: dict) -> None:
@@ -147,87 +153,95 @@ class Windows:
             at = np.repeat(self.run[a:b] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             self.flag[at] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(at)).astype(bool)
 
-    def spans(self) -> np.ndarray:
+    def stays(self) -> np.ndarray:
         """For each word of the group whether it stays."""
-        hit, n = self.at[self.flag], len(self.h) + 1
+        hit, n = self.at[self.flag], len(self.t.at) + 1
         return np.cumsum(np.bincount(hit, minlength=n) - np.bincount(hit + self.width, minlength=n))[:-1] == 0
 
 
-def shared_anchors(lists: list) -> list:
-    """For each list a bitmap of the anchors that another list has too."""
-    lists = [rice_decode(x) for x in lists]
-    distinct, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    ends = np.cumsum([0] + [len(x) for x in lists])
-    return [np.packbits(n[at[a:b]] > 1).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def shared_anchors(lists: list, hot: int) -> list:
+    """For each list two bitmaps: of the anchors that another list has too, and of those that occur hot times or more."""
+    codes, counts = [rice_decode(x) for x, _ in lists], [unplanes(n) for _, n in lists]
+    distinct, at, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    total = np.bincount(at, np.concatenate(counts), len(distinct))
+    ends = np.cumsum([0] + [len(x) for x in codes])
+    return [(np.packbits(n[at[a:b]] > 1).tobytes(), np.packbits(total[at[a:b]] >= hot).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def repeated_windows(lists: list, gids: list[int], width: int, most: int) -> list:
-    """For each list a bitmap of its runs' windows: whether an equal one starts earlier."""
-    number: dict[bytes, int] = {}
-    ids, nulls, doc, start, size, words, group = [], [], [], [], [], [], []
-    for gid, (i, u, d, s, m, text) in zip(gids, lists, strict=True):
-        for x, to in ((i, ids), (u, nulls), (d, doc), (s, start), (m, size)):
+def repeated_windows(lists: list, width: int, most: int) -> list:
+    """For each list (in the order of groups) a bitmap of its runs' windows: whether an equal one starts earlier."""
+    number = Places()
+    cols: list[list] = [[] for _ in range(7)]
+    for names, *told in lists:
+        for x, to in zip(told, cols, strict=True):
             to.append(unplanes(x))
-        group.append(np.full(len(size[-1]), gid))
-        words.append(np.fromiter((number.setdefault(w, len(number)) for w in text.split()), np.uint32))
-    counts = [int(x.sum()) for x in size]
-    ids, nulls, doc, start, size, words, group = (np.concatenate(x) for x in (ids, nulls, doc, start, size, words, group))
-    before = np.cumsum(size) - size
-    inner = np.arange(int(size.sum())) - np.repeat(before, size)
-    begin = np.repeat(np.cumsum(size + width - 1) - (size + width - 1), size) + inner
+        own = np.fromiter(map(number.__getitem__, names.split(b" ")), np.uint32)
+        cols[6][-1] = own[cols[6][-1]]
+    counts = [int(x.sum()) for x in cols[5]]
+    group = np.repeat(np.arange(len(lists)), [len(x) for x in cols[5]])
+    slot, ids, nulls, doc, start, size, words = (np.concatenate(x) for x in cols)
+    size = size.astype(np.int64)
+    del number, cols
     # runs of one document never share a window, so their order and the place within a run order all windows
     order = np.lexsort((start, doc, group, ids, nulls))
     of = np.empty(len(order), np.int64)
     of[order] = np.arange(len(order))
-    rank = np.repeat(of << 32, size) + inner
-    del ids, nulls, doc, start, group, order, of, inner, number
-    flag, view = np.zeros(len(begin), bool), sliding_window_view(words, width)
-    # parts by the first word, so that no more than a part's suffixes are spread out at a time
-    by = np.argsort(words[begin], kind="stable")
-    head = words[begin[by]]
-    cut = np.append(np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1]))), len(by))
-    at = 0
-    while at < len(cut) - 1:
-        stop = max(at + 1, int(np.searchsorted(cut, cut[at] + most, "right")) - 1)
-        part = by[cut[at] : cut[stop]]
-        flag[part] = deep_nodes(view[begin[part]], rank[part], most)
-        at = stop
+    del group, ids, nulls, doc, start, order
+    long = size + width - 1
+    begin, before = np.cumsum(long) - long, np.cumsum(size) - size
+    flag = np.zeros(int(size.sum()), bool)
+    by = np.argsort(slot, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], slot[by][1:] != slot[by][:-1])))
+    held = np.append(np.cumsum(long[by]) - long[by], long.sum())[np.append(first, len(by))]  # words before each slot
+    first = np.append(first, len(by))
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(held, held[i] + most, "right")) - 1)
+        part = by[first[i] : first[j]]
+        n = long[part]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        left = np.repeat(n, n) - inner
+        found = repeats(words[np.repeat(begin[part], n) + inner], left, np.repeat(of[part] << 32, n) + inner, width)
+        starts = left >= width
+        flag[(np.repeat(before[part], n) + inner)[starts]] = found[starts]
+        i = j
     ends = np.cumsum([0, *counts])
     return [np.packbits(flag[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, group_bytes: int = 4 << 20, owner_bytes: int = 10 << 20, most_suffixes: int = 100_000, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, hot: int = 1 << 14, group_bytes: int = 8 << 20, owner_bytes: int = 24 << 20, most_words: int = 1 << 19, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if with_text) for each row.
 
     A window is width consecutive words (between ASCII blanks, unchanged) of one document. Every word goes that lies in a
     window whose words also start earlier: in a row with a smaller id (a null id comes last; of rows with one id the
     earlier in the input), or earlier in the same row. Windows are judged on the input. Null texts have no words; texts
-    shorter than a window keep all. Whole texts are read; other columns are ignored; an empty table gives no rows.
+    shorter than a window keep all. Whole texts are read; ids must be integers (or null); other columns are ignored; an
+    empty table gives no rows.
 
-    group_bytes, owner_bytes and most_suffixes (of one suffix tree) bound the memory of a task.
+    group_bytes and owner_bytes (they grow with the square root of the input) bound the memory of a task, most_words that
+    of a suffix tree; anchors that occur hot times are split by whole windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("mark"), F.col(text_col).cast("string").alias("t"))
     groups = Groups(rows, group_bytes, owner_bytes, "substrings")
     owners = groups.owners
-    answers = groups.answer(groups.ask(None, lambda d, got, gid: Windows(d, width, seed_width).lists(owners)), 0, lambda got, gids: shared_anchors(got))
+    asked = groups.ask(None, lambda body, got: Windows(Packed(body), width, seed_width).lists(owners))
+    answers, _ = groups.answer(asked, 0, lambda got, owner: (shared_anchors(got, hot), None))
 
-    def ask_runs(docs_: tuple, got: dict, gid: int) -> dict:
-        w = Windows(docs_, width, seed_width)
+    def ask_runs(body: bytes, got: dict) -> dict:
+        w = Windows(Packed(body), width, seed_width)
         w.candidates(got.get(0, {}), owners)
         return w.runs(owners)
 
-    asked = groups.ask(answers, ask_runs)
-    answers = answers.unionByName(groups.answer(asked, 1, lambda got, gids: repeated_windows(got, gids, width, most_suffixes)))
+    given, _ = groups.answer(groups.ask(answers, ask_runs), 1, lambda got, owner: (repeated_windows(got, width, most_words), None))
 
-    def finish(docs_: tuple, got: dict, gid: int) -> pd.DataFrame:
-        w = Windows(docs_, width, seed_width)
+    def finish(body: bytes, got: dict) -> pd.DataFrame:
+        w = Windows(t := Packed(body), width, seed_width)
         w.candidates(got.get(0, {}), owners)
         w.repeats(got.get(1, {}))
-        stays = w.spans()
-        removed = np.add.reduceat(np.append(~stays, False), w.begin) * (w.lens > 0) if len(w.lens) else w.lens
-        keep = [stays[b : b + n].tolist() if r else None for b, n, r in zip(w.begin, w.lens, removed, strict=True)]
-        kept = [b" ".join(words if k is None else compress(words, k)) for words, k in zip(w.words, keep, strict=True)]
-        out = {"doc_id": pd.array(w.ids, "Int64"), "n_words": w.lens.astype(np.int64), "n_removed": removed.astype(np.int64), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+        stays = w.stays()
+        kept = [b" ".join(map(t.words.__getitem__, t.at[b : b + n][stays[b : b + n]].tolist())) for b, n in zip(t.begin.tolist(), t.lens.tolist(), strict=True)]
+        removed = t.lens - np.bincount(t.doc, stays, len(t.lens)).astype(np.int64)
+        out = {"doc_id": pd.array(t.ids, "Int64"), "n_words": t.lens, "n_removed": removed, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pd.DataFrame(out | ({"kept_text": [x.decode() for x in kept]} if with_text else {}))
 
-    return groups.finish(answers, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return groups.finish(answers.unionByName(given), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -434,27 +434,31 @@ def brute_tree(rows, settings_):
             if ks and gain > cost * len(ks) * math.log(max(sizes[s], 2)):
                 kept[s] = (beta + rest) / (sizes[s] + beta)
         levels.append((counts, kept, sizes))
+        if not kept:
+            break
     out = []
     for (i, _), (_, ws) in zip(rows, docs_, strict=True):
         out.append((repr(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10(base(w)) for w in ws), sum(math.log10(prob(ws[:k], w)) for k, w in enumerate(ws))))
     return sorted(out)
 
 
-@pytest.mark.parametrize("kw", [{}, {"group_bytes": 2000, "owner_bytes": 3000}])
-def test_suffix_lm(docs, none, all_rows, kw):
-    tuned = {"depth": 2, "least_context": 4, "least_pair": 2, "beta": 1.0, "cost": 0.5}
+@pytest.mark.parametrize("depth, kw", [(2, {}), (5, {"group_bytes": 2000, "owner_bytes": 3000}), (5, {"hot": 5, "group_bytes": 3000, "owner_bytes": 3000})])
+def test_suffix_lm(docs, none, all_rows, depth, kw):
+    """Also with many owners, and with contexts split over them by their symbols."""
+    tuned = {"depth": depth, "least_context": 4, "least_pair": 2, "beta": 1.0, "cost": 0.5}
     want = brute_tree(all_rows, tuned)
     got = sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_lm.score_documents(docs, **tuned, **kw).collect())
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert [x for g in got for x in g[4:]] == pytest.approx([x for w in want for x in w[4:]], rel=1e-5)
     assert sum(g[5] for g in got) > sum(g[4] for g in got)
-    assert suffix_lm.score_documents(none).count() == 0
+    if not kw:
+        assert suffix_lm.score_documents(none).count() == 0
 
 
 # substring dedup
 
 
-@pytest.mark.parametrize("kw", [{}, {"group_bytes": 2000, "owner_bytes": 3000, "most_suffixes": 5}])
+@pytest.mark.parametrize("kw", [{}, {"group_bytes": 2000, "owner_bytes": 3000, "most_words": 50}, {"group_bytes": 3000, "hot": 3}])
 def test_substrings(docs, none, all_rows, kw):
     # of the two equal rows with id 0 either may come first: their results are told apart as a set
     order = sorted(range(len(all_rows)), key=lambda k: (id_order(all_rows[k][0]), k))
@@ -473,11 +477,19 @@ def test_substrings(docs, none, all_rows, kw):
         assert substring_dedup.substring_dedup(none).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 2)), max_size=40), st.integers(1, 10))
-def test_deep_nodes(rows, most):
-    words, rank = np.array(rows, np.uint32).reshape(-1, 3), np.random.default_rng(0).permutation(len(rows))
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=12), max_size=12), st.integers(1, 4))
+def test_suffix_tree(texts, width):
+    words = np.array([w for t in texts for w in t], np.uint32)
+    left = np.array([len(t) - i for t in texts for i in range(len(t))], np.int64)
+    suffix = [t[i:] for t in texts for i in range(len(t))]
+    order, common = substring_dedup.suffix_tree(words, left, width)
+    assert [suffix[i] for i in order] == sorted(s for s in suffix if len(s) >= width)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common[1:].tolist() == [shared(suffix[i], suffix[j]) for i, j in zip(order[:-1], order[1:])]
+    rank = np.random.default_rng(0).permutation(len(suffix))
     first = {}
-    for r, k in zip(rows, rank, strict=True):
-        first[r] = min(first.get(r, k), k)
-    assert substring_dedup.deep_nodes(words, rank, most).tolist() == [first[r] != k for r, k in zip(rows, rank, strict=True)]
+    for s, k in zip(suffix, rank):
+        if len(s) >= width:
+            first[tuple(s[:width])] = min(first.get(tuple(s[:width]), k), k)
+    assert substring_dedup.repeats(words, left, rank, width).tolist() == [len(s) >= width and first[tuple(s[:width])] != k for s, k in zip(suffix, rank)]
