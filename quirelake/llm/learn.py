@@ -13,11 +13,11 @@ def held_out(id_col: str, folds: int) -> Column:
     return bucket_of(id_col, folds) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, *, folds: int, most: int, seed: int, per_label: bool = False) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, label_col: str, *, folds: int, most: int, seed: int, per_label: bool = False, most_bytes: int = 96 << 20) -> DataFrame:
     """Texts (t) and labels (y) of at most most labelled rows outside the held-out fold (of each label value if per_label).
 
-    The sample is the rows with the smallest seeded hashes of their ids, so it is the same in each run. A null label is
-    no label. With labels None, label_col is a column of docs. Of ids labelled twice the largest label counts.
+    The sample is the rows with the smallest seeded hashes of their ids, so it is the same in each run; it ends where the
+    next text would take it over most_bytes (of a label value, half of it). A null label is no label. With labels None, label_col is a column of docs. Of ids labelled twice the largest label counts.
     """
     have = (docs if labels is None else labels).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds))
     have = have.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -29,6 +29,9 @@ def training_rows(docs: DataFrame, labels: DataFrame | None, id_col: str, text_c
         have = have.join(counts, F.col("y") == F.col("of")).where(near).withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("rank") <= most)
     else:
         have = have.orderBy("h", "id").limit(most)
-    chosen = small_enough(materialize(have.select("id", "y"), "learn-rows"), 64, 16 << 20)
+    chosen = small_enough(materialize(have.select("id", "y", "h"), "learn-rows"), 64, 16 << 20)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    sizes = materialize(texts.join(chosen, "id").groupBy("id").agg(F.max("y").alias("y"), F.max("h").alias("h"), F.sum(F.octet_length("t")).alias("size")), "learn-sizes")
+    held = F.sum("size").over(Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = small_enough(materialize(sizes.withColumn("held", held).where(F.col("held") <= most_bytes // 2).select("id", "y"), "learn-rows"), 64, 16 << 20)
     return texts.join(chosen, "id").select("id", "t", "y")

@@ -87,36 +87,48 @@ def with_neighbours(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.concatenate((x, before, after, np.ones((len(x), 1), x.dtype)), axis=1)
 
 
-def chains(owner: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Where each chain (a text's lines; at most most of them) begins, and its length."""
+def chains(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each chain (a text's lines) begins, and its length."""
     if not len(owner):
         return np.zeros(0, int), np.zeros(0, int)
-    first = np.concatenate(([True], owner[1:] != owner[:-1]))
-    if most:
-        at = np.arange(len(owner))
-        first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % most == 0
-    begins = np.flatnonzero(first)
+    begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     return begins, np.diff(np.append(begins, len(owner)))
 
 
-def forward_backward(pull: np.ndarray, trans: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def reach(steps: np.ndarray) -> np.ndarray:
+    """Products, in the logarithm, of each matrix (n x 2 x 2) with all before it."""
+    out, k = steps, 1
+    while k < len(out):
+        before, after = out[:-k], out[k:]
+        both = np.logaddexp(before[:, :, :1] + after[:, :1, :], before[:, :, 1:] + after[:, 1:, :])
+        out, k = np.concatenate((out[:k], both)), 2 * k
+    return out
+
+
+def forward_backward(pull: np.ndarray, trans: np.ndarray, begins: np.ndarray, lengths: np.ndarray, deep: int = 256) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of good of each line, summed expected transitions (2 x 2), and the log partition of all chains.
 
-    pull: log score of good over bad of each line. Chains run side by side, the longest first.
+    pull: log score of good over bad of each line. Chains of up to deep lines run side by side, the longest first; longer
+    ones by doubling: a line's product of transition matrices reaches back 1, 2, 4, ... lines.
     """
-    order = np.argsort(-lengths, kind="stable")
-    begins, lengths = begins[order], lengths[order]
     score = np.stack((np.zeros_like(pull), pull), axis=1)
-    alpha, beta = np.zeros_like(score), np.zeros_like(score)
-    deep = int(lengths[0]) if len(lengths) else 0
-    alive = np.searchsorted(-lengths, -np.arange(1, deep + 1), "right")  # chains with more than t lines
-    for t in range(deep):
-        at = begins[: alive[t]] + t
-        alpha[at] = score[at] + (np.logaddexp(alpha[at - 1][:, :1] + trans[0], alpha[at - 1][:, 1:] + trans[1]) if t else 0)
-    for t in range(deep - 2, -1, -1):
-        at = begins[: alive[t + 1]] + t
+    alpha, beta = score.copy(), np.zeros_like(score)
+    some = np.flatnonzero(lengths <= deep)
+    some = some[np.argsort(-lengths[some], kind="stable")]
+    some_begin, some_length = begins[some], lengths[some]
+    alive = np.searchsorted(-some_length, -np.arange(1, int(some_length[0]) + 1 if len(some) else 1), "right")  # chains with more than t lines
+    for t in range(1, len(alive)):
+        at = some_begin[: alive[t]] + t
+        alpha[at] = score[at] + np.logaddexp(alpha[at - 1][:, :1] + trans[0], alpha[at - 1][:, 1:] + trans[1])
+    for t in range(len(alive) - 2, -1, -1):
+        at = some_begin[: alive[t + 1]] + t
         nxt = score[at + 1] + beta[at + 1]
         beta[at] = np.logaddexp(nxt[:, :1] + trans[:, 0], nxt[:, 1:] + trans[:, 1])
+    for b, n in zip(begins[lengths > deep].tolist(), lengths[lengths > deep].tolist(), strict=True):
+        steps = trans + score[b + 1 : b + n, None, :]  # from a line's label to the next one's
+        forward = reach(steps)
+        alpha[b + 1 : b + n] = np.logaddexp(score[b, 0] + forward[:, 0], score[b, 1] + forward[:, 1])
+        beta[b : b + n - 1] = np.logaddexp.reduce(reach(steps[::-1].transpose(0, 2, 1))[::-1], axis=1)
     both = alpha + beta
     total = np.logaddexp(both[:, 0], both[:, 1])
     inner = np.ones(len(pull), bool)
@@ -159,7 +171,7 @@ class LineField:
         worst = np.full(len(texts), np.inf)
         np.minimum.at(worst, owner, p)
         label = np.where(y[owner] == 1, 1, ((p > 0) & (p > worst[owner])).astype(int))
-        begins, lengths = chains(owner, 64)
+        begins, lengths = chains(owner)
         first = np.zeros(len(label), bool)
         first[begins] = True
         at = np.flatnonzero(~first)
@@ -191,7 +203,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float, rou
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, folds: int = 5, per_label: int = 2500, rounds: int = 150, decay: float = 1.0, seed: int = 3) -> LineField:
-    """Learns from at most per_label labelled documents of each label outside the held-out fold; their texts come to the driver. Without labels of both kinds every score is 0.5."""
+    """Learns from at most per_label labelled documents of each label outside the held-out fold; their texts, of 96 MB at most, come to the driver. Without labels of both kinds every score is 0.5."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, folds=folds, most=per_label, seed=seed, per_label=True)
     got = rows.select("id", rows.y.cast("int").alias("y"), "t").toArrow().sort_by("id")
     texts, y = as_bytes(got.column("t").combine_chunks()), np.array(got.column("y").to_pylist(), int)

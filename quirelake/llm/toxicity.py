@@ -53,8 +53,8 @@ class Terms(dict):
 class FactorMachine:
     """bias + sum of weights + sum over pairs of <factors, factors>, through a sigmoid, on sets of terms."""
 
-    def __init__(self, terms: np.ndarray, telling: np.ndarray, factors: int, seed: int):
-        self.terms, self.telling, self.bias = terms, telling, 0.0
+    def __init__(self, terms: np.ndarray, telling: np.ndarray, factors: int, seed: int, bits: int = 20):
+        self.terms, self.telling, self.bias, self.bits = terms, telling, 0.0, bits
         self.w = np.zeros(len(terms))
         self.v = np.random.default_rng(seed).normal(0, 1, (len(terms), factors)) * np.where(telling, 0.05, 0.01)[:, None]
 
@@ -113,7 +113,7 @@ def seen_terms(rows: list[np.ndarray], y: np.ndarray, bits: int, least: int, z:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 5, sample: int = 10_000, bits: int = 20, factors: int = 8, least: int = 3, z: float = 5.0, epochs: int = 40, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> FactorMachine:
-    """Learns from at most sample labelled documents outside the held-out fold; their hashed terms come to the driver. Without labels of both kinds the machine knows only a base rate."""
+    """Learns from at most sample labelled documents outside the held-out fold; their hashed terms (of texts of 96 MB at most) come to the driver. Without labels of both kinds the machine knows only a base rate."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, folds=folds, most=sample, seed=seed)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     place = np.full(1 << bits, -1)
     place[keep] = np.arange(len(keep))
     x = [(p := place[v])[p >= 0].tolist() for v in x]
-    model = FactorMachine(keep, telling, factors, seed)
+    model = FactorMachine(keep, telling, factors, seed, bits)
     rate_1 = (y.sum() + 0.5) / (len(y) + 1)
     model.bias = float(np.log(rate_1 / (1 - rate_1)))
     if 0 < y.sum() < len(y):
@@ -138,12 +138,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return model
 
 
-def score_toxicity(docs: DataFrame, model: FactorMachine, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 20, folds: int = 5, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: FactorMachine, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for each row, from the whole text alone; a null or empty text gets the bias' score. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(bits, shared.value.terms)
+        terms = Terms(shared.value.bits, shared.value.terms)
         for batch in slices(batches):
             scores = shared.value.score([terms.of(t) for t in as_bytes(batch.column("t"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
