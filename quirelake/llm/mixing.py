@@ -6,6 +6,8 @@ Documents are counted by exact length; per source the count of documents to take
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, text_of
 
 
+#: Words that the knapsack fits at most: a megabyte for each set of reachable sums.
+MOST_WORDS = 1 << 23
+
+
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
     """Budgets by weight; none is above most times its source's size, the excess goes to the others by weight."""
     budget, out, free = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
@@ -34,15 +40,17 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to budget without passing it.
 
-    First every length gives its even share, rounded so that the error never piles up; the last words (up to window, at
-    least twice the longest document) are a bounded knapsack over what is left, solved exactly by reachable sums.
+    First every length gives its even share, rounded so that the error never piles up, then the longest that fit go on
+    until about window words are left (or twice the longest text, MOST_WORDS at most): a bounded knapsack over what is
+    left, solved exactly by reachable sums. Of these,
+    one in as many is kept as there are kept at a time, and those between are made again on the way back.
     """
     order = np.argsort(-lengths)
     size, left, take = lengths[order].astype(int), counts[order].astype(int), np.zeros(len(order), int)
     budget, total = int(budget), int((size * left).sum())
     if budget >= total:
         return counts.copy()
-    window = min(budget, max(window, 2 * int(size[0])))
+    window = min(budget, max(window, min(2 * int(size[0]), MOST_WORDS)))
     ratio, seen, got = (budget - window) / max(1, total), 0.0, 0
     for i, s in enumerate(size):
         if s:
@@ -51,20 +59,35 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np
             got += int(take[i]) * int(s)
     left -= take
     rest = budget - got
-    reach, steps, full = 1, [], (1 << (rest + 1)) - 1
+    for i, s in enumerate(size):
+        if s and rest > window:
+            n = min(int(left[i]), (rest - window) // int(s))
+            take[i], left[i], rest = take[i] + n, left[i] - n, rest - n * int(s)
+    steps, full = [], (1 << (rest + 1)) - 1
     for i, s in enumerate(size):
         k = 1
-        while s and left[i] > 0 and k * s <= rest and not reach >> rest & 1:
+        while s and left[i] > 0 and k * s <= rest:
             n = min(k, int(left[i]))
-            steps.append((i, n, reach))
-            reach |= (reach << n * int(s)) & full
+            steps.append((i, n * int(s), n))
             left[i] -= n
             k *= 2
+    every, kept, reach = max(1, math.isqrt(len(steps))), [], 1
+    for j, (_, words, _) in enumerate(steps):
+        if j % every == 0:
+            kept.append(reach)
+        if reach >> rest & 1:
+            steps = steps[:j]
+            break
+        reach |= (reach << words) & full
     at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(size[i])
+    for block in range(-(-len(steps) // every) - 1, -1, -1):
+        part, sums = steps[block * every : (block + 1) * every], [kept[block]]
+        for _, words, _ in part[:-1]:
+            sums.append(sums[-1] | (sums[-1] << words) & full)
+        for (i, words, n), before in zip(reversed(part), reversed(sums), strict=True):
+            if not before >> at & 1:
+                take[i] += n
+                at -= words
     out = np.zeros(len(order), int)
     out[order] = take
     return out
