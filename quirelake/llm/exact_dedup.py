@@ -112,10 +112,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = small_enough(marked, 32, broadcast_bytes)
     texts = rows.select(norm.alias("norm")).withColumn("fp", fp).join(marked, "fp", "left_semi")
     equal = texts.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
+    equal = materialize(equal, "dedup-equal")  # written, so that joins with it are plain ones, whose large keys Spark splits
     best = F.min(F.struct((-F.col("n_cp")).alias("c"), F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("id"), "rid"))
-    stays = light.join(equal, "sha", "left_semi").groupBy("sha").agg(best.alias("best"))
-    groups = equal.join(stays, "sha").select("sha", "n", "best")
-    out = light.join(groups, "sha", "left")
+    stays = light.join(small_enough(equal, 48, broadcast_bytes), "sha", "left_semi").groupBy("sha").agg(best.alias("best"))
+    groups = materialize(equal.join(stays, "sha").select("sha", "n", "best"), "dedup-groups")
+    out = light.join(small_enough(groups, 96, broadcast_bytes), "sha", "left")
     single = F.col("n").isNull()
     return out.select(
         "doc_id",
