@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,8 +109,9 @@ def clean_vision(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, r"https?://\S+", URL_GONE), r"(?s)```.*?```", CODE_GONE), 1, 500)
 
 
-def clean_ocr(c: Column, most: int = 12_000, marker: str = "…") -> Column:
-    gone = F.regexp_replace(c, r"https?://\S+", URL_GONE)
+def clean_ocr(c: Column, most: int = 12_000, marker: str = "\n\n[...]") -> Column:
+    """Without addresses; a cut is marked."""
+    gone = F.regexp_replace(c, r"https?://\S+", "")
     return F.when(F.length(gone) > most, F.concat(F.substring(gone, 1, most), F.lit(marker))).otherwise(gone)
 
 
@@ -226,7 +229,8 @@ def safe_href(c: Column) -> Column:
 
 
 def highlight(c: Column, query: str) -> Column:
-    return F.regexp_replace(c, r"(?i)\Q" + query + r"\E", "<mark>$0</mark>") if query else c
+    """Occurrences of query, whatever its signs and cases, in marks."""
+    return F.regexp_replace(c, "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", query), "<mark>$0</mark>") if query else c
 
 
 def mime_of(c: Column) -> Column:

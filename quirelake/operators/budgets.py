@@ -19,30 +19,39 @@ def skip_budget(groups: DataFrame, items: str, *, budget: int = 8000, gap: int =
 
     What fits depends on all decisions before, so the array is folded inside one expression.
     """
-    kind = "struct(x AS item, cast(0 AS long) AS dummy).item"
     step = f"""aggregate({items}, struct(cast(0 AS long) AS used, filter({items}, x -> false) AS kept),
         (a, x) -> if(a.used + length(x.text) + {gap} <= {budget}, struct(a.used + length(x.text) + {gap} AS used, concat(a.kept, array(x)) AS kept), a)).kept"""
-    del kind
     return groups.withColumn("kept", F.expr(step))
 
 
-def water_fill(rows: DataFrame, by: str, order: str, *, budget: int, text: str = "text") -> DataFrame:
-    """allowed length of each text so that all of a group fit the budget: short ones whole, the rest equal shares.
+def water_fill(rows: DataFrame, by: str, order: str, *, budget: int, text: str = "text", gap: int = 2) -> DataFrame:
+    """allowed length of each text so that all of a group, gap characters between them, fit the budget: short ones whole, the rest equal shares.
 
     Sorted by length, a text is settled if it is at most an equal share of what the shorter ones leave.
     """
-    n = F.length(text)
-    w = Window.partitionBy(by).orderBy("len", order)
-    out = rows.withColumn("len", n.cast("long"))
-    out = out.withColumns({"rank": F.row_number().over(w) - 1, "before": F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.count("*").over(Window.partitionBy(by)), "total": F.sum("len").over(Window.partitionBy(by))})
-    share = F.floor((F.lit(budget) - F.col("before")) / (F.col("n") - F.col("rank")))
+    w, all_ = Window.partitionBy(by).orderBy("len", order), Window.partitionBy(by)
+    out = rows.withColumn("len", F.length(text).cast("long"))
+    out = out.withColumns({"rank": F.row_number().over(w) - 1, "before": F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.count("*").over(all_), "total": F.sum("len").over(all_)})
+    gaps = F.lit(gap) * (F.col("n") - 1)
+    share = F.floor((F.greatest(F.lit(0), F.lit(budget) - gaps) - F.col("before")) / (F.col("n") - F.col("rank")))
     out = out.withColumn("share", share).withColumn("settled", F.col("len") <= F.col("share"))
-    rest = F.min(F.when(~F.col("settled"), F.col("rank"))).over(Window.partitionBy(by))
-    level = F.min(F.when(~F.col("settled"), F.struct("rank", "share"))).over(Window.partitionBy(by))["share"]
-    whole = (F.col("total") <= budget) | rest.isNull() | (F.col("rank") < rest)
+    rest = F.min(F.when(~F.col("settled"), F.col("rank"))).over(all_)
+    level = F.min(F.when(~F.col("settled"), F.struct("rank", "share"))).over(all_)["share"]
+    whole = (F.col("total") + gaps <= budget) | rest.isNull() | (F.col("rank") < rest)
     return out.withColumn("allowed", F.when(whole, F.col("len")).otherwise(F.greatest(F.lit(0), F.least("len", level)))).drop("len", "rank", "before", "n", "total", "share", "settled")
 
 
+def water_joined(rows: DataFrame, by: str, order: str, *, budget: int, label: str, text: str = "text", gap: str = "\n\n") -> DataFrame:
+    """One text per group within the budget: what ``water_fill`` allows of each; a cut one loses a half citation and blanks at its end and gets an ellipsis. label: added last where any was cut."""
+    filled = water_fill(rows, by, order, budget=budget, text=text, gap=len(gap))
+    part = F.substring(F.col(text), F.lit(1), F.col("allowed").cast("int"))
+    cut = F.length(text) > F.col("allowed")
+    part = F.when(cut, F.concat(F.regexp_replace(T.strip_partial_citation(part), r"(?U)\s+\z", ""), F.lit("…"))).otherwise(F.col(text))
+    got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("t"))))
+    joined = F.array_join(F.transform(got, lambda x: x["t"]), gap)
+    return filled.groupBy(by).agg(F.concat(joined, F.when(F.max(cut), f"{gap}{label}").otherwise("")).alias("text"))
+
+
 def drop_cancelled(messages: DataFrame, by: str, order: str) -> DataFrame:
     """Without cancelled answers and the questions right before them."""
     nxt = F.lead("cancelled").over(Window.partitionBy(by).orderBy(order))
@@ -58,12 +67,12 @@ def trim_history(messages: DataFrame, by: str, order: str, *, budget: int = 4000
 
 
 def format_history(messages: DataFrame, by: str, order: str, *, budget: int = 4000) -> DataFrame:
-    """One text per conversation: cancelled pairs dropped, each message with its role, trimmed to the budget."""
+    """One text per conversation under a header: cancelled pairs dropped, each message with its role and without marks that prompts use, trimmed to the budget."""
     name = F.when(F.col("role") == "user", "Q: ").otherwise("A: ")
-    lines = drop_cancelled(messages, by, order).withColumn("line", F.concat(name, F.col("text")))
+    lines = drop_cancelled(messages, by, order).withColumn("line", F.concat(name, T.sanitize_prompt(F.col("text"))))
     kept = trim_history(lines, by, order, budget=budget, text="line")
     got = F.array_sort(F.collect_list(F.struct(order, "line")))
-    return kept.groupBy(by).agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("history"))
+    return kept.groupBy(by).agg(F.concat(F.lit(f"\n{T.SECTIONS[1]}\n"), F.array_join(F.transform(got, lambda x: x["line"]), "\n"), F.lit("\n")).alias("history"))
 
 
 def retain(messages: DataFrame, by: str, order: str, most: int = 20) -> DataFrame:

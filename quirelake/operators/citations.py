@@ -2,43 +2,44 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
-_CITATION = re.compile(r"\[(?:([^\[\]|\n]{1,120}?)\s+)?p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{0,200})?\s*\]", re.I)
-_WRAPPED = re.compile(r"\(\s*(\[p\.\s*\d+(?:\s*\|\s*[^\]\n]{0,200})?\s*\])\s*\)", re.I)
-_END = re.compile(r"[.!?。！？]\s*$")
-
+# A bare citation in round brackets, what may stand before and between citations alone on a line, a closing mark.
+WRAPPED = r"(?i)\(\s*(\[p\.\s*\d+(?:\s*\|\s*[^\]]*?)?\s*\])\s*\)"
+LEAD, BETWEEN, CLOSING = r"(?U)^[\s\-*•]+", r"(?U)^[\x00\s.,]*\z", r"(?U)[.!?。！？]\s*\z"
 
-def place(text: str) -> str:
-    """Citations on lines of their own move to the end of the line before, in front of its closing mark."""
-    out: list[str] = []
-    for line in _WRAPPED.sub(r"\1", text).split("\n"):
-        bare = re.sub(r"^[\s\-*•]+", "", line)
-        found = [m.group(0) for m in _CITATION.finditer(bare)]
-        if not found or re.sub(r"[\s.,]", "", _CITATION.sub("", bare)):
-            out.append(line)
-            continue
-        at = next((i for i in range(len(out) - 1, -1, -1) if out[i].strip()), None)
-        if at is None:
-            out.append("".join(found))
-        elif end := _END.search(out[at]):
-            out[at] = out[at][: end.start()] + "".join(found) + out[at][end.start() :]
-        else:
-            out[at] = out[at].rstrip() + "".join(found)
-    return "\n".join(out)
 
+def place(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): citations on lines of their own go to the end of the last line before that isn't blank, in front of its closing mark.
 
-@F.pandas_udf(StringType())
-def placed(texts: pd.Series) -> pd.Series:
-    """``place`` for a column."""
-    return texts.map(place, na_action="ignore")
+    Where no such line stands before, they stay, without what surrounded them, and are that line for those that follow.
+    Bare citations lose round brackets around them. Lines are classed each by itself; a running maximum finds the line
+    that citations go to. id must be unique; a null text stays null.
+    """
+    lines = F.posexplode(F.split(F.regexp_replace(F.col(text_col), WRAPPED, "$1"), "\n", -1)).alias("at", "line")
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), lines)
+    body = F.regexp_replace("line", LEAD, "")
+    left = F.regexp_replace(body, T.CITATION, "\0")
+    alone = left.contains("\0") & left.rlike(BETWEEN)
+    cited = F.array_join(F.regexp_extract_all("line", F.lit(T.CITATION), 0), "")
+    w = Window.partitionBy("id").orderBy("at")
+    solid = F.length(T.trim(F.col("line"))) > 0
+    rows = rows.withColumns({"alone": alone, "cited": F.when(alone, cited), "solid": solid})
+    rows = rows.withColumn("first", F.col("solid") & (F.sum(F.col("solid").cast("int")).over(w) == 1))
+    stays = ~F.col("alone") | F.col("first")
+    rows = rows.withColumn("to", F.max(F.when(stays & (F.col("solid") | F.col("alone")), F.col("at"))).over(w))
+    rows = rows.withColumn("to", F.when(stays, F.col("at")).otherwise(F.col("to")))
+    line = F.max(F.when(F.col("to") == F.col("at"), F.when(F.col("alone"), F.col("cited")).otherwise(F.col("line"))))
+    moved = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("to") != F.col("at"), F.struct("at", "cited")))), lambda x: x["cited"]), "")
+    merged = rows.groupBy("id", "to").agg(line.alias("line"), moved.alias("moved"))
+    end = F.regexp_extract("line", CLOSING, 0)
+    merged = merged.withColumn("line", F.when(F.col("moved") == "", F.col("line")).otherwise(F.concat(F.expr("left(line, length(line) - length(regexp_extract(line, '" + CLOSING.replace("\\", "\\\\") + "', 0)))"), "moved", end)))
+    got = F.array_sort(F.collect_list(F.struct("to", "line")))
+    out = merged.groupBy("id").agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("text")).withColumnRenamed("id", id_col)
+    return out.unionByName(texts.where(F.col(text_col).isNull()).select(id_col, F.lit(None).cast("string").alias("text")))
 
 
 def parse(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,19 +47,13 @@ def parse(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.posexplode(T.citations(F.col(text_col))).alias("n", "c")).select(id_col, "n", "c.page", "c.doc")
 
 
-def segments(text: str) -> list[tuple[str, str | None, int | None, str | None]]:
-    """A text as (kind, content, page, doc) segments; page 0 stays text."""
-    out, at = [], 0
-    for m in _CITATION.finditer(text):
-        if int(m.group(2)) < 1:
-            continue
-        if m.start() > at:
-            out.append(("text", text[at : m.start()], None, None))
-        out.append(("citation", None, int(m.group(2)), m.group(1)))
-        at = m.end()
-    if at < len(text):
-        out.append(("text", text[at:], None, None))
-    return out
+def segments(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, kind, content, page, doc): each text cut at its citations; a citation of page 0 stays text."""
+    valid = T.CITATION.replace(r"(\d+)", r"(0*[1-9]\d*)")
+    parts = F.split(F.regexp_replace(F.col(text_col), f"({valid})", "\0$1\0"), "\0", -1)
+    rows = texts.select(id_col, F.posexplode(parts).alias("n", "content")).where("content <> ''").withColumn("cited", F.col("n") % 2 == 1)
+    page, doc = F.regexp_extract("content", valid, 2).try_cast("long"), F.regexp_extract("content", valid, 1)
+    return rows.select(id_col, "n", F.when(F.col("cited"), "citation").otherwise("text").alias("kind"), F.when(~F.col("cited"), F.col("content")).alias("content"), F.when(F.col("cited"), page).alias("page"), F.when(F.col("cited") & (doc != ""), doc).alias("doc"))
 
 
 def resolve(cited: DataFrame, tabs: DataFrame) -> DataFrame:

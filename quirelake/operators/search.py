@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,19 +70,31 @@ def keyword_scores(pages: DataFrame, docs: DataFrame, summaries: DataFrame, quer
 
 
 def chunk_keyword_scores(chunks: DataFrame, words: Column, text: str = "text") -> DataFrame:
-    """score: occurrences of all keywords (an array) in the chunk without its citations."""
+    """score: occurrences of all keywords (an array; a repeated one counts again) in the chunk without its citations.
+
+    ASCII keywords are whole words: the chunk is split into words once, and those that are keywords are looked up. Only
+    other keywords are searched for one by one.
+    """
     low = F.lower(T.strip_citations(F.col(text)))
-    return chunks.withColumn("low", low).withColumn("score", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + T.keyword_count(F.col("low"), w))).drop("low")
+    ascii_ = F.filter(words, lambda w: w.rlike("^[a-z0-9]+$"))
+    out = chunks.withColumn("__low", low).withColumn("__hits", F.filter(F.split("__low", "[^a-z0-9_]+"), lambda t: F.array_contains(ascii_, t)))
+    whole = F.aggregate("__hits", F.lit(0).cast("long"), lambda a, t: a + F.size(F.filter(ascii_, lambda w: w == t)))
+    others = F.aggregate(F.filter(words, lambda w: ~w.rlike("^[a-z0-9]+$")), F.lit(0).cast("long"), lambda a, w: a + T.occurrences(F.col("__low"), w))
+    return out.withColumn("score", whole + others).drop("__low", "__hits")
 
 
-def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...]) -> DataFrame:
+def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], most: int = 10_000) -> DataFrame:
     """support of each sentence (keys, embedding): its best score over all chunks (embedding), 0 at least.
 
-    The answer's sentences (at most a hundred per answer) are the broadcast side; partial maxima meet after the shuffle.
+    Sentences are broadcast in blocks of counted size, each against all chunks; partial maxima meet after the shuffle.
     """
     s = sentences.select(*keys, F.col("embedding").alias("q"))
-    scored = chunks.select("embedding").join(F.broadcast(s), F.size("embedding") == F.size("q"))
-    out = scored.groupBy(*keys).agg(F.max(V.dot(F.col("embedding"), F.col("q"))).alias("m"))
+    blocks, out = max(1, math.ceil(s.count() / most)), None
+    for b in range(blocks):
+        block = s if blocks == 1 else s.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
+        scored = chunks.select("embedding").join(F.broadcast(block), F.size("embedding") == F.size("q"))
+        found = scored.groupBy(*keys).agg(F.max(V.dot(F.col("embedding"), F.col("q"))).alias("m"))
+        out = found if out is None else out.unionByName(found)
     return sentences.select(*keys).join(out, list(keys), "left").select(*keys, F.greatest(F.lit(0.0), F.coalesce("m", F.lit(0.0))).alias("support"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUILT_IN = ("full", "chapter", "keywords")
+from ..functions import text as T
+
+# Fixed value: codes of connections that never came to be.
+CONNECT_CODES = ("ECONNREFUSED", "ENOTFOUND", "EAI_AGAIN", "EHOSTUNREACH", "ENETUNREACH", "ETIMEDOUT")
 
 
 def restore_messages(messages: DataFrame) -> DataFrame:
@@ -14,9 +17,10 @@ def restore_messages(messages: DataFrame) -> DataFrame:
 
 
 def restore_summaries(summaries: DataFrame, templates: DataFrame) -> DataFrame:
-    """Summaries of built-in kinds, and of templates that still exist (kind ``custom:id``)."""
-    own = templates.select(F.concat(F.lit("custom:"), "id").alias("kind")).distinct()
-    return summaries.where(F.col("kind").isin(*BUILT_IN)).unionByName(summaries.where(~F.col("kind").isin(*BUILT_IN)).join(own, "kind", "left_semi"))
+    """All summaries but those of templates (kind ``custom:id``) that no longer exist."""
+    own = templates.where(T.trim(F.col("id")) != "").select(F.concat(F.lit("custom:"), "id").alias("kind")).distinct()
+    custom = F.col("kind").startswith("custom:")
+    return summaries.where(~custom).unionByName(summaries.where(custom).join(own, "kind", "left_semi"))
 
 
 def restore_index(sessions: DataFrame, model: str, dim: int, version: int = 1) -> DataFrame:
@@ -71,7 +75,8 @@ def eta_ms(elapsed: Column, done: Column, total: Column) -> Column:
 
 
 def transport_error(code: Column) -> Column:
-    return F.when(code.isin("ECONNREFUSED", "ENOTFOUND", "EHOSTUNREACH", "ETIMEDOUT"), "connectFailed").otherwise("disconnected")
+    """Whether a server couldn't be reached, or a stream broke off (any other code, or none)."""
+    return F.when(code.isin(*CONNECT_CODES), "streamConnectFailed").otherwise("streamDisconnected")
 
 
 def unsaved(rows: DataFrame) -> DataFrame:

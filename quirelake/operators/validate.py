@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import local_url
+from ..functions.text import local_url, trim
 
-# Providers, summary kinds and languages that requests may name.
+# Fixed values of the rules: providers, summary kinds, languages, sizes and the shape of model names.
 PROVIDERS = ("ollama", "claude", "openai", "gemini")
-KINDS = ("full", "chapter", "keywords", "qa")
-LANGUAGES = ("ko", "en", "ja", "zh")
-MODEL = r"^[A-Za-z0-9][A-Za-z0-9._:/\-]{0,127}$"
-REQUEST_ID = r"^[A-Za-z0-9\-]{1,64}$"
+KINDS = ("full", "chapter", "keywords", "qa", "custom")
+LANGUAGES = ("ko", "en", "ja", "zh", "auto")
+MODEL = r"^[a-zA-Z0-9]([a-zA-Z0-9._:/\-]*[a-zA-Z0-9])?\z"
+MOST_ID, MOST_TEXT, MOST_MODEL, MOST_PROMPT = 256, 10 << 20, 128, 4000
 
 
 def request_error(rows: DataFrame) -> DataFrame:
-    """error of each generate request (request_id, text, kind, provider, model, language, temperature, url), null if it is good."""
+    """error of each generate request (request_id, text, url, kind, provider, model, temperature, language, custom_prompt), null if it is good.
+
+    The first rule that fails names the error. A missing (null) temperature, language or custom prompt is allowed; only
+    the local provider's URL must parse and be local; kind custom needs a prompt.
+    """
+    local, url = F.col("provider") == "ollama", F.col("url")
+    parsed = F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(url, F.lit("HOST")).isNotNull()
+    prompt = F.col("custom_prompt")
     checks = [
-        ("request id", F.col("request_id").rlike(REQUEST_ID)),
-        ("text", F.length("text").between(1, 2_000_000)),
-        ("type", F.col("kind").isin(*KINDS) | F.col("kind").startswith("custom:")),
+        ("requestId", F.length("request_id").between(1, MOST_ID)),
+        ("text", F.length("text").between(1, MOST_TEXT)),
+        ("ollamaBaseUrl", url.isNotNull() & (~F.coalesce(local, F.lit(False)) | parsed)),
+        ("ollamaBaseUrl: localhost only", ~F.coalesce(local, F.lit(False)) | local_url(url)),
+        ("type", F.col("kind").isin(*KINDS)),
         ("provider", F.col("provider").isin(*PROVIDERS)),
-        ("model", F.col("model").rlike(MODEL)),
-        ("language", F.col("language").isin(*LANGUAGES)),
-        ("temperature", F.col("temperature").between(0, 2)),
-        ("url", (F.col("provider") != "ollama") | local_url(F.col("url"))),
+        ("model", F.col("model").rlike(MODEL) & (F.length("model") <= MOST_MODEL)),
+        ("temperature", F.col("temperature").isNull() | (~F.isnan("temperature") & F.col("temperature").between(0, 2))),
+        ("language", F.col("language").isNull() | F.col("language").isin(*LANGUAGES)),
+        ("customPrompt", (prompt.isNull() | (F.length(prompt) <= MOST_PROMPT)) & ((F.col("kind") != "custom") | (trim(F.coalesce(prompt, F.lit(""))) != ""))),
     ]
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"Invalid {name}")) for name, ok in checks])
     return rows.withColumn("error", error)

@@ -29,18 +29,19 @@ def keyword_context(docs: DataFrame, question: str, *, budget: int = 8000, size:
     """docs (doc_id, text) -> context without vectors: a short text whole, else its chunks with most keywords, in document order.
 
     Chunks are taken by score while the budget holds and the score is positive; the first that fails ends it. With
-    nothing taken (or no keyword) the first and last chunk stand in, cut to the budget.
+    nothing taken (or no keyword) the first and last chunk stand in, cut to the budget; so does an only chunk, whatever
+    its score.
     """
     text = F.coalesce("text", F.lit(""))
     short = docs.where(F.length(text) <= budget).select("doc_id", text.alias("context"))
     long = docs.where(F.length(text) > budget)
     chunks = C.chunk_documents(long, size)
-    words = F.array_distinct(T.keywords(F.lit(question)))
+    words = T.keywords(F.lit(question))
     scored = S.chunk_keyword_scores(chunks, words)
     w = Window.partitionBy("doc_id")
     run = w.orderBy(F.desc("score"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
     scored = scored.withColumns({"used": F.sum(F.length("text")).over(run), "n": F.count("*").over(w)})
-    scored = scored.withColumn("taken", (F.col("score") > 0) & (F.col("used") <= budget)).withColumn("any", F.max("taken").over(w))
+    scored = scored.withColumn("taken", (F.col("n") > 1) & (F.col("score") > 0) & (F.col("used") <= budget)).withColumn("any", F.max("taken").over(w))
     kept = scored.where(F.col("taken") | (~F.col("any") & ((F.col("chunk") == 0) | (F.col("chunk") == F.col("n") - 1))))
     got = F.array_sort(F.collect_list(F.struct("chunk", "text")))
     made = kept.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(got, lambda x: x["text"]), "\n\n"), 1, budget).alias("cut"), F.array_join(F.transform(got, lambda x: x["text"]), "\n\n").alias("full"), F.first("any").alias("any"))
@@ -65,8 +66,6 @@ def summarize(docs: DataFrame, generator: Generator, *, size: int = 4000, budget
     """docs (doc_id, text) -> summary: each chunk is summarised, then the parts (water-filled into the budget) together."""
     chunks = C.chunk_documents(docs, size).withColumns({"lang": F.lit(lang), "kind": F.lit("full")})
     parts = generator.generate(build_prompts(chunks)).select("doc_id", "chunk", F.col("answer").alias("text"))
-    parts = B.water_fill(parts, "doc_id", "chunk", budget=budget)
-    got = F.array_sort(F.collect_list(F.struct("chunk", F.substring(F.col("text"), F.lit(1), F.col("allowed").cast("int")).alias("text"))))
-    whole = parts.groupBy("doc_id").agg(F.array_join(F.transform(got, lambda x: x["text"]), "\n\n").alias("text"))
+    whole = B.water_joined(parts, "doc_id", "chunk", budget=budget, label="[...]")
     final = generator.generate(build_prompts(whole.withColumns({"lang": F.lit(lang), "kind": F.lit("full")})))
     return final.select("doc_id", T.drop_small_talk(F.col("answer")).alias("summary"))

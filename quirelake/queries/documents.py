@@ -23,16 +23,18 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cited(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first line with citations: a bare one, one of its own source, one of another document."""
-    first = F.split(F.coalesce("text", F.lit("")), "\n", -1)[0]
+    """Each document's text with citations at its end: a bare one, one of its own source, one of another document."""
+    first = F.coalesce("text", F.lit(""))
     page = (F.col("doc_id") % 9).cast("string")
     text = F.concat(first, F.lit(" [p."), page, F.lit("]. And [ "), "source", F.lit(" p."), page, F.lit("|quote] or [other.pdf p. 3].\n- [p.4]"))
     return _docs(spark, d).select("doc_id", "source", text.alias("text"))
 
 
 def _headed(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with headings: every third line is one, its level by its number; every tenth is a fence."""
-    mark = F.when(F.col("page") % 10 == 9, F.lit("```")).when(F.col("page") % 3 == 1, F.concat(F.repeat(F.lit("#"), (F.col("page") * 7 % 4 + 1).cast("int")), F.lit(" **T"), "page", F.lit("**"))).otherwise(F.col("text"))
+    """Lines with headings: every third line is one, its level and indent by its number; every tenth is a fence; some lines have a citation."""
+    head = F.concat(F.repeat(F.lit(" "), (F.col("page") % 4).cast("int")), F.repeat(F.lit("#"), (F.col("page") * 7 % 4 + 1).cast("int")), F.lit(" **T"), "page", F.lit("** ##"))
+    cited = F.concat("text", F.lit(" [a "), F.col("page") % 2, F.lit(" p. "), F.col("page") % 4, F.lit("]"))
+    mark = F.when(F.col("page") % 10 == 9, F.lit("```")).when(F.col("page") % 3 == 1, head).when(F.col("page") % 5 == 3, cited).otherwise(F.col("text"))
     return _pages(spark, d).select("doc_id", "page", mark.alias("text"))
 
 
@@ -126,17 +128,24 @@ def citation_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_place(spark: SparkSession, d: str) -> DataFrame:
-    return _cited(spark, d).select("doc_id", X.placed("text").alias("text"))
+    """Citations on lines of their own, in brackets, after blank lines, before any text."""
+    text = F.concat(F.lit("- [p.1]\n"), "text", F.lit(". \n\n*  [p.5|q] , ([p.6|r]).\nNext ( [p.7] )\n  [p.8]\n"))
+    return X.place(_cited(spark, d).select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+def citation_segments(spark: SparkSession, d: str) -> DataFrame:
+    return X.segments(_cited(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("page").alias("pages"), F.sum(F.length("content")).alias("chars"), F.count("doc").alias("named"))
 
 
 def summary_tree(spark: SparkSession, d: str) -> DataFrame:
-    return R.heading_tree(_headed(spark, d)).select("doc_id", "line", F.col("level").cast("long").alias("level"), "title", F.coalesce("parent", F.lit(0)).alias("parent"))
+    tree = R.heading_tree(_headed(spark, d))
+    return tree.select("doc_id", "line", F.col("level").cast("long").alias("level"), "title", F.coalesce("parent", F.lit(0)).alias("parent"), F.coalesce("cited_page", F.lit(0)).alias("cited_page"), F.coalesce("cited_doc", F.lit("-")).alias("cited_doc"))
 
 
 def outline(spark: SparkSession, d: str) -> DataFrame:
     """Items: lines, under the line whose number is theirs divided by three."""
-    items = _pages(spark, d).where("page <= 60").select("doc_id", F.col("page").alias("id"), F.when(F.col("page") > 3, F.floor(F.col("page") / 3).cast("int")).alias("parent"), F.when(F.col("page") % 5 > 0, F.concat(F.lit("t"), "page")).alias("title"), F.when(F.col("page") % 2 > 0, F.col("page")).alias("page"), F.col("page").alias("pos"))
-    return R.outline(items, depth=3, most=20).select("doc_id", F.col("id").cast("long").alias("id"), F.col("level").cast("long").alias("level"), "title", F.col("rank").cast("long").alias("rank"))
+    items = _pages(spark, d).select("doc_id", F.col("page").alias("id"), F.when(F.col("page") > 3, F.floor(F.col("page") / 3).cast("int")).alias("parent"), F.when(F.col("page") % 5 > 0, F.concat(F.lit("t"), "page")).alias("title"), F.when(F.col("page") % 2 > 0, F.col("page")).alias("page"), F.col("page").alias("pos"))
+    return R.outline(items, depth=3, most=500).select("doc_id", F.col("id").cast("long").alias("id"), F.col("level").cast("long").alias("level"), "title", F.col("rank").cast("long").alias("rank"))
 
 
 def math_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -149,11 +158,12 @@ def title_clean(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.clean_title(F.concat(F.lit("**"), "source", F.lit("** my_doc 2020~2024 ~~x~~ `y` 2 * 3 * 4 [p.3] "), first)).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (chars_per_token, page_offsets, offset_to_page, page_labels, empty_pages, page_range_mask, chapters_fallback, chapters_clipped, chapters_detected, chapter_texts, chunks_whole, chunks_overlap, image_notes, doc_hash, dedupe_first, sentences, citations_parse, citation_resolve, citation_qualify, citation_strip, citation_place, summary_tree, outline, math_marks, title_clean)}
+QUERIES = {f.__name__: f for f in (chars_per_token, page_offsets, offset_to_page, page_labels, empty_pages, page_range_mask, chapters_fallback, chapters_clipped, chapters_detected, chapter_texts, chunks_whole, chunks_overlap, image_notes, doc_hash, dedupe_first, sentences, citations_parse, citation_resolve, citation_qualify, citation_strip, citation_place, citation_segments, summary_tree, outline, math_marks, title_clean)}
 
 _O = f"{_P}, o AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM p)"
-_C = """c AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10))[1] || ' [p.' || doc_id % 9 || ']. And [ ' || source || ' p.' || doc_id % 9 || '|quote] or [other.pdf p. 3].' || chr(10) || '- [p.4]' AS text FROM documents)"""
+_C = """c AS (SELECT doc_id, source, coalesce(text, '') || ' [p.' || doc_id % 9 || ']. And [ ' || source || ' p.' || doc_id % 9 || '|quote] or [other.pdf p. 3].' || chr(10) || '- [p.4]' AS text FROM documents)"""
 _CIT = r"(?i)\[(?:([^\[\]|\n]{1,120}?)\s+)?p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{0,200})?\s*\]"
+_VALID = _CIT.replace(r"(\d+)", r"(0*[1-9]\d*)")
 _CP = f"""{_C}, x AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CIT}', 1)) AS doc, unnest(regexp_extract_all(text, '{_CIT}', 2))::BIGINT AS page, generate_subscripts(regexp_extract_all(text, '{_CIT}', 2), 1) AS i FROM c),
     y AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, page, CASE WHEN doc <> '' THEN doc END AS doc FROM x WHERE page >= 1)"""
 ORACLES = {
@@ -177,16 +187,22 @@ ORACLES = {
     "citations_parse": f"WITH {_CP} SELECT doc_id, n, page, doc FROM y",
     "citation_resolve": f"WITH {_CP}, {_M}, t AS (SELECT file_name, count(*) AS k, min(doc_hash) AS target, min(page_count) AS pages FROM m WHERE doc_id < 12 GROUP BY 1) SELECT y.doc_id, n, page, CASE WHEN doc IS NULL THEN 'bare' WHEN k IS NULL THEN 'closed' WHEN k > 1 THEN 'ambiguous' WHEN page > pages THEN 'invalid' ELSE 'ok' END AS state, CASE WHEN state = 'ok' THEN target END AS target FROM y LEFT JOIN t ON y.doc = t.file_name",
     "citation_qualify": rf"WITH {_C} SELECT doc_id, regexp_replace(text, '(?i)\[p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{{0,200}})?\s*\]', '[$a ' || source || ' p.\1]', 'g') AS text FROM c",
+    "citation_place": f"""WITH {_C} SELECT doc_id, '[p.1]' || chr(10) || left(text, length(text) - 9) || '[p.4][p.5|q][p.6|r].' || chr(10) || chr(10) || 'Next [p.7][p.8]' || chr(10) AS text FROM c""",
+    "citation_segments": rf"""WITH {_C}, x AS (SELECT doc_id, text, regexp_extract_all(text, '{_VALID}', 0) AS m, regexp_extract_all(text, '{_VALID}', 1) AS d, regexp_extract_all(text, '{_VALID}', 2) AS p, regexp_replace(text, '{_VALID}', chr(1), 'g') AS r FROM c)
+        SELECT doc_id, len(m) + len(list_filter(string_split(r, chr(1)), lambda z: z <> '')) AS n, list_sum(list_transform(p, lambda z: z::BIGINT))::BIGINT AS pages, (length(text) - list_sum(list_transform(m, lambda z: length(z))))::BIGINT AS chars, len(list_filter(d, lambda z: z <> ''))::BIGINT AS named FROM x""",
     "citation_strip": f"WITH {_C} SELECT doc_id, regexp_replace(text, '{_CIT}', '', 'g') AS text, text || ' ' AS cut FROM c",
-    "summary_tree": f"""WITH {_P}, h AS (SELECT doc_id, page, CASE WHEN page % 10 = 9 THEN '```' WHEN page % 3 = 1 THEN repeat('#', (page * 7 % 4 + 1)::INT) || ' **T' || page || '**' ELSE text END AS text FROM p),
+    "summary_tree": f"""WITH {_P}, h AS (SELECT doc_id, page, CASE WHEN page % 10 = 9 THEN '```' WHEN page % 3 = 1 THEN repeat(' ', (page % 4)::INT) || repeat('#', (page * 7 % 4 + 1)::INT) || ' **T' || page || '** ##' WHEN page % 5 = 3 THEN text || ' [a ' || page % 2 || ' p. ' || page % 4 || ']' ELSE text END AS text FROM p),
         f AS (SELECT *, regexp_matches(text, '^\\s*(```|~~~)')::INT AS fence FROM h), g AS (SELECT *, sum(fence) OVER (PARTITION BY doc_id ORDER BY page) AS o, sum(fence) OVER (PARTITION BY doc_id) AS t FROM f),
-        k AS (SELECT doc_id, page AS line, length(regexp_extract(text, '^(#{{1,6}})\\s+\\S', 1)) AS level, text FROM g WHERE fence = 0 AND NOT (o % 2 = 1 AND NOT (t % 2 = 1 AND o = t))),
-        l AS (SELECT * FROM k WHERE level > 0)
-        SELECT a.doc_id, a.line::INT AS line, a.level::BIGINT AS level, 'T' || a.line AS title, coalesce(max(b.line), 0)::INT AS parent FROM l a LEFT JOIN l b ON a.doc_id = b.doc_id AND b.line < a.line AND b.level < a.level GROUP BY ALL""",
-    "outline": f"""WITH RECURSIVE {_P}, i AS (SELECT doc_id, page AS id, CASE WHEN page > 3 THEN page // 3 END AS parent, CASE WHEN page % 5 > 0 THEN 't' || page END AS title, CASE WHEN page % 2 > 0 THEN page END AS page FROM p WHERE page <= 60),
+        k AS (SELECT doc_id, page AS line, CASE WHEN t % 2 = 0 AND (fence = 1 OR o % 2 = 1) THEN 0 ELSE length(regexp_extract(text, '^ {{0,3}}(#{{1,6}})\\s+.', 1)) END AS level, text FROM g),
+        l AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM k WHERE level > 0),
+        c AS (SELECT doc_id, line, regexp_extract(text, '{_CIT}', 2)::BIGINT AS page, trim(regexp_extract(text, '{_CIT}', 1)) AS doc FROM k WHERE regexp_matches(text, '{_CIT}')),
+        s AS (SELECT l.doc_id, l.line, arg_min(c.page, c.line) AS page, arg_min(c.doc, c.line) AS doc FROM l JOIN c ON c.doc_id = l.doc_id AND c.line >= l.line AND (nxt IS NULL OR c.line < nxt) GROUP BY ALL)
+        SELECT a.doc_id, a.line::INT AS line, a.level::BIGINT AS level, 'T' || a.line AS title, coalesce(max(b.line), 0)::INT AS parent, coalesce(any_value(s.page), 0) AS cited_page, coalesce(any_value(CASE WHEN s.page >= 1 AND s.doc <> '' THEN s.doc END), '-') AS cited_doc
+        FROM l a LEFT JOIN l b ON a.doc_id = b.doc_id AND b.line < a.line AND b.level < a.level LEFT JOIN s ON s.doc_id = a.doc_id AND s.line = a.line GROUP BY a.doc_id, a.line, a.level""",
+    "outline": f"""WITH RECURSIVE {_P}, i AS (SELECT doc_id, page AS id, CASE WHEN page > 3 THEN page // 3 END AS parent, CASE WHEN page % 5 > 0 THEN 't' || page END AS title, CASE WHEN page % 2 > 0 THEN page END AS page FROM p),
         r AS (SELECT *, 1 AS level, lpad(id::VARCHAR, 9, '0') || '/' AS path FROM i WHERE parent IS NULL UNION ALL SELECT i.*, level + 1, path || lpad(i.id::VARCHAR, 9, '0') || '/' FROM i JOIN r ON i.doc_id = r.doc_id AND i.parent = r.id WHERE level < 3),
         k AS (SELECT * FROM r WHERE NOT (title IS NULL AND page IS NULL AND NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = r.doc_id AND i.parent = r.id)))
-        SELECT doc_id, id, level::BIGINT AS level, coalesce(title, '—') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS rank FROM k QUALIFY rank <= 20""",
+        SELECT doc_id, id, level::BIGINT AS level, coalesce(title, '—') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS rank FROM k QUALIFY rank <= 500""",
     "math_marks": "SELECT doc_id, '$$x+' || doc_id || '$$ and ' || chr(92) || '[p. 3' || chr(92) || '] `' || chr(92) || '(a' || chr(92) || ')`' AS text FROM documents",
     "title_clean": f"SELECT doc_id, trim(regexp_replace(source || ' my_doc 2020~2024 x y 2 * 3 * 4 ' || translate(substr(string_split(coalesce(text, ''), chr(10))[1], 1, 40), '*_`~', ''), '{_BL}', ' ', 'g')) AS title FROM documents",
 }

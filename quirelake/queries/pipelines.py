@@ -18,7 +18,7 @@ from .search import _P
 
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
     """Pages as hits, ranked by length: those that fit 1500 characters."""
-    pages = pages_of(table(spark, d, "documents")).where("page <= 15 AND text <> ''")
+    pages = pages_of(table(spark, d, "documents")).where("text <> ''")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("text") % 97), "page"))
     hits = pages.select("doc_id", rank.alias("rank"), F.lit("").alias("doc"), F.col("page").alias("idx"), "text", F.when(F.col("page") % 4 > 0, F.col("page")).alias("page"))
     return R.context(hits, "doc_id", budget=1500).select("doc_id", F.length("context").alias("n"), F.sha2("context", 256).alias("sha"))
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (rag_context, keyword_context, ask_documents,
 _EN = {k: len(t) - 6 for lang, k, t in M.TEMPLATES if lang == "en"}
 _KO = {k: len(t) - 6 for lang, k, t in M.TEMPLATES if lang == "ko"}
 ORACLES = {
-    "rag_context": f"""WITH RECURSIVE {_P}, h AS (SELECT doc_id, page, CASE WHEN page % 4 > 0 THEN '[p.' || page || ']' || chr(10) ELSE '' END || text AS s, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) % 97 DESC, page) AS rank FROM p WHERE page <= 15 AND text <> ''),
+    "rag_context": f"""WITH RECURSIVE {_P}, h AS (SELECT doc_id, page, CASE WHEN page % 4 > 0 THEN '[p.' || page || ']' || chr(10) ELSE '' END || text AS s, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) % 97 DESC, page) AS rank FROM p WHERE text <> ''),
         r AS (SELECT doc_id, page, s, rank, length(s) <= 1500 AS kept, CASE WHEN length(s) <= 1500 THEN length(s) ELSE 0 END AS used FROM h WHERE rank = 1
         UNION ALL SELECT h.doc_id, h.page, h.s, h.rank, r.used + length(h.s) <= 1500, CASE WHEN r.used + length(h.s) <= 1500 THEN r.used + length(h.s) ELSE r.used END FROM r JOIN h ON h.doc_id = r.doc_id AND h.rank = r.rank + 1),
         c AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY page) AS c FROM r WHERE kept GROUP BY 1) SELECT doc_id, length(c) AS n, sha256(c) AS sha FROM c""",

@@ -29,7 +29,7 @@ def restore_messages(spark: SparkSession, d: str) -> DataFrame:
 
 def restore_summaries(spark: SparkSession, d: str) -> DataFrame:
     m = _manifest(spark, d)
-    rows = m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "full").otherwise(F.concat(F.lit("custom:t"), F.col("doc_id") % 5)).alias("kind"))
+    rows = m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "full").when(F.col("doc_id") % 3 == 1, "mystery").otherwise(F.concat(F.lit("custom:t"), F.col("doc_id") % 5)).alias("kind"))
     return S.restore_summaries(rows, spark.createDataFrame([("t1",), ("t3",)], "id string"))
 
 
@@ -83,7 +83,7 @@ QUERIES = {f.__name__: f for f in (restore_session, restore_messages, restore_su
 ORACLES = {
     "restore_session": f"WITH {_M} SELECT doc_id, coalesce(doc_id % 10 <> 0 AND embed_model = 'base' AND embed_dim = 64 AND doc_id % 6 <> 0 AND chunk_count > 0, false) AS with_index FROM m",
     "restore_messages": "SELECT conv_id, turn FROM conversations WHERE role IN ('user', 'assistant') AND turn % 3 > 0 AND text IS NOT NULL",
-    "restore_summaries": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'custom:t' || doc_id % 5 END AS kind FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 IN (1, 3)",
+    "restore_summaries": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'mystery' ELSE 'custom:t' || doc_id % 5 END AS kind FROM documents WHERE doc_id % 3 < 2 OR doc_id % 5 IN (1, 3)",
     "open_collection": f"WITH {_M}, k AS (SELECT DISTINCT doc_hash FROM m WHERE doc_id % 3 = 0) SELECT file_name AS id, count(*) AS n, count(k.doc_hash) AS n_open, count(k.doc_hash) > 0 AND count(k.doc_hash) < count(*) AS partial FROM m LEFT JOIN k USING (doc_hash) GROUP BY 1",
     "union_members": f"WITH {_M}, u AS (SELECT file_name AS id, doc_hash, row_number() OVER (PARTITION BY file_name ORDER BY min(doc_id)) - 1 AS p FROM m GROUP BY file_name, doc_hash) SELECT id, doc_hash, (CASE WHEN p = 4 THEN 0 WHEN p < 4 THEN p + 1 ELSE p END)::INT AS pos FROM u WHERE p < 10",
     "embedding_order": "SELECT label AS request, vec_id, vec_id % 4 > 0 AS there, round(CASE WHEN vec_id % 4 > 0 THEN embedding[1]::DOUBLE ELSE 0 END, 5) AS x FROM embeddings",

@@ -47,7 +47,10 @@ def lru_evict_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def waterfill_budget(spark: SparkSession, d: str) -> DataFrame:
-    return B.water_fill(pages_of(table(spark, d, "documents")), "doc_id", "page", budget=1000).select("doc_id", "page", F.col("allowed").cast("long").alias("allowed"))
+    """Each document's lines, some with a citation, as one text of 1000 characters at most (before its label)."""
+    lines = pages_of(table(spark, d, "documents")).withColumn("text", F.when(F.col("page") % 3 == 0, F.concat("text", F.lit(" [other.pdf p. 12|a longer quote]"))).otherwise(F.col("text")))
+    out = B.water_joined(lines, "doc_id", "page", budget=1000, label="[cut]")
+    return out.select("doc_id", F.length("text").alias("n"), F.sha2("text", 256).alias("sha"))
 
 
 def prefix_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +59,7 @@ def prefix_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skip_budget(spark: SparkSession, d: str) -> DataFrame:
-    pages = pages_of(table(spark, d, "documents")).where("page <= 12")
+    pages = pages_of(table(spark, d, "documents"))
     groups = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("items"))
     kept = B.skip_budget(groups, "items", budget=600)
     return kept.select("doc_id", F.explode("kept").alias("k")).select("doc_id", "k.page")
@@ -76,7 +79,10 @@ def history_trim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_format(spark: SparkSession, d: str) -> DataFrame:
-    return B.format_history(_talk(spark, d), "conv_id", "turn", budget=900)
+    """Some messages try to open a section of the prompt."""
+    marked = F.concat(F.lit("[질문] x\n---\n"), "text")
+    talk = _talk(spark, d).withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, marked).otherwise(F.col("text")))
+    return B.format_history(talk, "conv_id", "turn", budget=900)
 
 
 def qa_retention(spark: SparkSession, d: str) -> DataFrame:
@@ -156,13 +162,13 @@ def safe_href(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_paths(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit(r"C:\Users\ann\x.ts c:/Users/bo/y /home/al/z \\srv\share\a /etc/passwd D:\w E:/v https://h/p "), F.substring("text", 1, 20))
+    text = F.concat(F.lit(r"C:\Users\ann\x.ts c:/Users/bo/y /home/al/z \\srv\share\a /etc/passwd D:\w E:/v https://h/p "), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", T.redact_paths(text).alias("text"))
 
 
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     key = F.sha2(F.col("doc_id").cast("string"), 256)
-    text = F.concat(F.lit("Bearer "), key, F.lit(" sk-ant-"), key, F.lit(" sk-proj-"), key, F.lit(" AIza"), key, F.lit(" sk-short "), F.substring("text", 1, 20))
+    text = F.concat(F.lit("Bearer "), key, F.lit(" sk-ant-"), key, F.lit(" sk-proj-"), key, F.lit(" AIza"), key, F.lit(" sk-short "), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", T.redact_secrets(text).alias("text"))
 
 
@@ -179,8 +185,20 @@ def conversational_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_errors(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 9
-    rows = table(spark, d, "documents").select("doc_id", F.when(k == 0, "bad id!").otherwise("r-1").alias("request_id"), F.when(k == 1, "").otherwise(F.col("text")).alias("text"), F.when(k == 2, "poem").otherwise("full").alias("kind"), F.when(k == 3, "acme").otherwise("ollama").alias("provider"), F.when(k == 4, "-x").otherwise("m:7b").alias("model"), F.when(k == 5, "xx").otherwise("en").alias("language"), F.when(k == 6, 3.0).otherwise(0.5).alias("temperature"), F.when(k == 7, "http://evil.example/").otherwise("http://localhost:11434").alias("url"))
+    """Twenty requests that break one rule each, or none."""
+    k, null = F.col("doc_id") % 20, F.lit(None).cast("string")
+    rows = table(spark, d, "documents").select(
+        "doc_id",
+        F.when(k == 0, "").when(k == 18, F.repeat(F.lit("r"), 257)).otherwise("any id!").alias("request_id"),
+        F.when(k == 1, "").otherwise(F.col("text")).alias("text"),
+        F.when(k == 2, null).when(k == 3, "not a url").when(k.isin(4, 19), "http://evil.example/").otherwise("http://localhost:11434").alias("url"),
+        F.when(k == 5, "poem").when(k.isin(12, 13, 14), "custom").otherwise("full").alias("kind"),
+        F.when(k == 6, "acme").when(k == 19, "claude").otherwise("ollama").alias("provider"),
+        F.when(k == 7, "-x").when(k == 8, "m:").when(k == 17, F.repeat(F.lit("m"), 129)).otherwise("m:7b").alias("model"),
+        F.when(k == 9, 3.0).when(k != 15, 0.5).alias("temperature"),
+        F.when(k == 10, "xx").when(k == 16, "auto").when(k != 15, "en").alias("language"),
+        F.when(k == 11, F.repeat(F.lit("x"), 4001)).when(k == 13, " \n").when(k == 14, "as a poem").alias("custom_prompt"),
+    )
     return V.request_error(rows).select("doc_id", F.coalesce("error", F.lit("ok")).alias("error"))
 
 
@@ -204,22 +222,38 @@ _MR = f"""{_M}, b AS (SELECT file_name AS id, doc_id AS pos, CASE WHEN doc_id %
     r AS (SELECT id, pos, coalesce(tab, file_name, v.doc_hash) AS name, CASE WHEN tab IS NULL THEN 'session' ELSE 'memory' END AS source, CASE WHEN w.doc_hash IS NULL THEN CASE WHEN tab IS NULL THEN 'missing' ELSE 'no-index' END WHEN chunk_count = 0 THEN 'no-index' WHEN embed_model <> 'base' OR embed_dim <> 64 THEN 'model-mismatch' ELSE 'ready' END AS status FROM v LEFT JOIN w ON w.doc_hash = v.doc_hash LEFT JOIN t ON t.doc_hash = v.doc_hash)"""
 _T = "t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, role = 'assistant' AND (conv_id + turn) % 5 = 0 AS cancelled FROM conversations)"
 _TC = f"{_T}, k AS (SELECT * FROM (SELECT *, cancelled OR (role = 'user' AND coalesce(lead(cancelled) OVER (PARTITION BY conv_id ORDER BY turn), false)) AS gone FROM t) WHERE NOT gone)"
+
+def _redacted(rules) -> str:
+    """SQL for the rules, one after the other, on the text."""
+    sql = "coalesce(text, '')"
+    for pattern, by in rules:
+        sql = f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return sql
+
+
+_PATHLESS = _redacted([(p.replace("(?!/)[^", "[^/"), by) for p, by in T.PATHS])
 ORACLES = {
     "member_resolution": f"WITH {_MR} SELECT * FROM r",
     "member_counts": f"WITH {_MR} SELECT id, count(*) AS n, sum((status = 'ready')::INT)::BIGINT AS n_ready FROM r GROUP BY 1",
     "lru_evict": f"""WITH {_M}, x AS (SELECT *, doc_id % 9 = 0 AS pin FROM m), y AS (SELECT *, count(*) OVER g AS n, sum(byte_size) OVER g AS b, count(*) OVER w AS n0, coalesce(sum(byte_size) OVER w, 0) AS b0 FROM x WINDOW g AS (PARTITION BY file_name), w AS (PARTITION BY file_name ORDER BY pin, last_accessed, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT doc_id, NOT pin AND (n - n0 > 15 OR b - b0 > 60000) AS evicted FROM y""",
     "lru_evict_store": f"WITH {_M}, y AS (SELECT *, count(*) OVER () AS n, sum(byte_size) OVER () AS b, count(*) OVER w AS n0, coalesce(sum(byte_size) OVER w, 0) AS b0 FROM m WHERE file_name = 'src3' WINDOW w AS (ORDER BY last_accessed, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT doc_id FROM y WHERE n - n0 > 30 OR b - b0 > 200000",
-    "waterfill_budget": f"""WITH {_P}, x AS (SELECT doc_id, page, length(text) AS len, row_number() OVER w - 1 AS r, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, count(*) OVER g AS n, sum(length(text)) OVER g AS t FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY length(text), page), g AS (PARTITION BY doc_id)),
-        y AS (SELECT *, floor((1000 - b) / (n - r)) AS s FROM x), z AS (SELECT *, min(CASE WHEN len > s THEN r END) OVER (PARTITION BY doc_id) AS f FROM y), l AS (SELECT *, max(CASE WHEN r = f THEN s END) OVER (PARTITION BY doc_id) AS v FROM z)
-        SELECT doc_id, page, CASE WHEN t <= 1000 OR f IS NULL OR r < f THEN len ELSE greatest(0, least(len, v)) END::BIGINT AS allowed FROM l""",
+    "waterfill_budget": rf"""WITH {_P}, p2 AS (SELECT doc_id, page, CASE WHEN page % 3 = 0 THEN text || ' [other.pdf p. 12|a longer quote]' ELSE text END AS text FROM p),
+        x AS (SELECT doc_id, page, text, length(text) AS len, row_number() OVER w - 1 AS r, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, count(*) OVER g AS n, sum(length(text)) OVER g AS t FROM p2 WINDOW w AS (PARTITION BY doc_id ORDER BY length(text), page), g AS (PARTITION BY doc_id)),
+        y AS (SELECT *, floor((greatest(0, 1000 - 2 * (n - 1)) - b) / (n - r)) AS s FROM x), z AS (SELECT *, min(CASE WHEN len > s THEN r END) OVER (PARTITION BY doc_id) AS f FROM y), l AS (SELECT *, max(CASE WHEN r = f THEN s END) OVER (PARTITION BY doc_id) AS v FROM z),
+        a AS (SELECT *, CASE WHEN t + 2 * (n - 1) <= 1000 OR f IS NULL OR r < f THEN len ELSE greatest(0, least(len, v)) END::BIGINT AS allowed FROM l),
+        c AS (SELECT doc_id, page, len > allowed AS cut, CASE WHEN len > allowed THEN regexp_replace(regexp_replace(substr(text, 1, allowed), '\[[^\]\n]{{0,130}}\z', ''), '[\s\x0B\x{{85}}\p{{Z}}]+\z', '') || '…' ELSE text END AS part FROM a),
+        j AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY page) || CASE WHEN bool_or(cut) THEN chr(10) || chr(10) || '[cut]' ELSE '' END AS text FROM c GROUP BY 1)
+        SELECT doc_id, length(text) AS n, sha256(text) AS sha FROM j""",
     "prefix_budget": f"WITH {_P}, u AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY length(text) % 7 DESC, page ROWS UNBOUNDED PRECEDING) AS used FROM p) SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM u WHERE used <= 2000 GROUP BY 1",
     "skip_budget": f"""WITH RECURSIVE {_P}, r AS (SELECT doc_id, page, length(text) <= 600 AS kept, CASE WHEN length(text) <= 600 THEN length(text) ELSE 0 END AS used FROM p WHERE page = 1
-        UNION ALL SELECT p.doc_id, p.page, r.used + length(text) <= 600, CASE WHEN r.used + length(text) <= 600 THEN r.used + length(text) ELSE r.used END FROM r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page + 1 WHERE p.page <= 12)
+        UNION ALL SELECT p.doc_id, p.page, r.used + length(text) <= 600, CASE WHEN r.used + length(text) <= 600 THEN r.used + length(text) ELSE r.used END FROM r JOIN p ON p.doc_id = r.doc_id AND p.page = r.page + 1)
         SELECT doc_id, page::INT AS page FROM r WHERE kept""",
     "cancelled_pairs": f"WITH {_TC} SELECT conv_id, turn FROM k",
     "history_trim": f"WITH {_T} SELECT conv_id, turn FROM (SELECT *, sum(length(text) + 1) OVER w AS used, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= 800 OR rn = 1",
-    "history_format": f"WITH {_TC}, l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || text AS line FROM k), h AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS rn FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM h WHERE used <= 900 OR rn = 1 GROUP BY 1",
+    "history_format": f"""WITH {_TC}, l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || CASE WHEN (conv_id + turn) % 7 = 0 THEN chr(92) || '[질문' || chr(92) || '] x' || chr(10) || chr(92) || '-' || chr(92) || '-' || chr(92) || '-' || chr(10) ELSE '' END || text AS line FROM k),
+        h AS (SELECT *, sum(length(line) + 1) OVER w AS used, row_number() OVER w AS rn FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, chr(10) || '[이전 대화]' || chr(10) || string_agg(line, chr(10) ORDER BY turn) || chr(10) AS history FROM h WHERE used <= 900 OR rn = 1 GROUP BY 1""",
     "qa_retention": f"WITH {_T} SELECT conv_id, turn FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nr FROM t) WHERE nr >= CASE WHEN n > 3 THEN ceil((n - 3) / 2) * 2 ELSE 0 END",
     "session_stats": f"WITH {_M} SELECT count(*) AS n, sum(byte_size)::BIGINT AS bytes FROM m",
     "recent_list": f"WITH {_M} SELECT doc_id, last_accessed FROM m ORDER BY last_accessed DESC, doc_id LIMIT 20",
@@ -234,11 +268,13 @@ ORACLES = {
     "normalize_entries": f"WITH {_M} SELECT doc_hash, count(*) AS n, max(least(512, length(file_name) * 200))::INT AS name_chars, sum(CASE WHEN doc_id % 4 = 3 THEN page_count ELSE 0 END)::BIGINT AS pages, min(CASE WHEN doc_id % 4 = 2 THEN '1970-01-01T00:00:00.000Z' ELSE '2024-01-02T03:04:05.000Z' END) AS created_at FROM m WHERE doc_id % 4 <> 0 GROUP BY 1",
     "persist_plan": f"WITH {_M} SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 OR (doc_id % 2 <> 0 AND doc_id % 3 = 0) THEN 'skip' WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'patch' ELSE 'full' END AS mode, doc_id % 17 = 0 OR doc_id % 19 = 0 OR chunk_count = 0 AS keep_index FROM m",
     "safe_href": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE regexp_matches(lower(trim(url)), '^(https?://|mailto:|#)') END AS safe FROM pages",
-    "redact_paths": "SELECT doc_id, '~ ~ ~ <share> <system> <path> <path> https://h/p ' || substr(text, 1, 20) AS text FROM documents",
-    "redact_secrets": "SELECT doc_id, 'Bearer [REDACTED] sk-ant-[REDACTED] sk-[REDACTED] AIza[REDACTED] sk-short ' || substr(text, 1, 20) AS text FROM documents",
+    "redact_paths": f"SELECT doc_id, '~ ~ ~ <share> <system> <path> <path> https://h/p ' || {_PATHLESS} AS text FROM documents",
+    "redact_secrets": f"SELECT doc_id, 'Bearer [REDACTED] sk-ant-[REDACTED] sk-[REDACTED] AIza[REDACTED] sk-short ' || {_redacted(T.SECRETS)} AS text FROM documents",
     "vision_clean": r"SELECT doc_id, substr(regexp_replace('see [URL 제거됨] and [코드블록 제거됨]. ' || text, 'https?://\S+', '[URL 제거됨]', 'g'), 1, 500) AS text FROM documents",
     "conversational_filter": f"SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'Feel free to ask [p.3]' || chr(10) || rtrim(coalesce(text, ''), chr(10)) ELSE regexp_replace(regexp_replace(coalesce(text, ''), '^{_BL}', ''), '{_BL}$', '') END AS text FROM conversations",
-    "request_errors": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Invalid request id' WHEN doc_id % 9 = 1 OR text = '' THEN 'Invalid text' WHEN doc_id % 9 = 2 THEN 'Invalid type' WHEN doc_id % 9 = 3 THEN 'Invalid provider' WHEN doc_id % 9 = 4 THEN 'Invalid model' WHEN doc_id % 9 = 5 THEN 'Invalid language' WHEN doc_id % 9 = 6 THEN 'Invalid temperature' WHEN doc_id % 9 = 7 THEN 'Invalid url' ELSE 'ok' END AS error FROM documents",
+    "request_errors": """SELECT doc_id, CASE WHEN doc_id % 20 IN (0, 18) THEN 'Invalid requestId' WHEN doc_id % 20 = 1 OR coalesce(text, '') = '' THEN 'Invalid text' WHEN doc_id % 20 IN (2, 3) THEN 'Invalid ollamaBaseUrl'
+        WHEN doc_id % 20 = 4 THEN 'Invalid ollamaBaseUrl: localhost only' WHEN doc_id % 20 = 5 THEN 'Invalid type' WHEN doc_id % 20 = 6 THEN 'Invalid provider' WHEN doc_id % 20 IN (7, 8, 17) THEN 'Invalid model'
+        WHEN doc_id % 20 = 9 THEN 'Invalid temperature' WHEN doc_id % 20 = 10 THEN 'Invalid language' WHEN doc_id % 20 IN (11, 12, 13) THEN 'Invalid customPrompt' ELSE 'ok' END AS error FROM documents""",
     "http_errors": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'cloudQuota' WHEN 1 THEN 'cloudRateLimit' WHEN 4 THEN '-' ELSE 'cloudOverloaded' END AS error, CASE event_id % 5 WHEN 0 THEN 3500 WHEN 1 THEN 60000 ELSE -1 END::BIGINT AS wait_ms FROM events",
     "progress_events": "SELECT event_id, ['pulling', 'pullingManifest', 'verifying', 'writing', 'success', 'preparing', 'raw'][1 + event_id % 7] AS event FROM events",
 }

@@ -13,7 +13,7 @@ COLLECTIONS = "schema_version int, collections array<struct<id:string,name:strin
 
 def is_pdf(content: Column, most: int = MOST_BYTES) -> Column:
     """Not too large, and the magic within the first 1024 bytes."""
-    return (F.length(content) <= most) & (F.expr(f"position(unhex('255044462D') IN substring({content._jc.toString()}, 1, 1024))") > 0)
+    return (F.length(content) <= most) & F.contains(F.substring(content, 1, 1024), F.unhex(F.lit("255044462D")))
 
 
 def read_pdfs(spark: SparkSession, path: str, parser) -> DataFrame:

@@ -1,5 +1,7 @@
 """Literal cases and properties of the operators that SQL can't express."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,15 +31,18 @@ def test_sentences(spark):
 
 @pytest.mark.parametrize(
     ("given_", "want"),
-    [("결론이다.\n- [p.5]", "결론이다[p.5]."), ("핵심 사실\n[p.5]", "핵심 사실[p.5]"), ("([p.3])", "[p.3]"), ("no citation", "no citation")],
-)
-def test_citation_place(given_, want):
-    assert citations.place(given_) == want
+    [("결론이다.\n- [p.5]", "결론이다[p.5]."), ("핵심 사실\n[p.5]", "핵심 사실[p.5]"), ("([p.3])", "[p.3]"), ("no citation", "no citation"), ("kept blanks  \n* [p.1], [a p.2]\n[p.3]", "kept blanks  [p.1][a p.2][p.3]"),
+     ("\n - [p.1]\n[p.2].\nend", "\n[p.1][p.2]\nend"), (f"(  [p.7 | {'q' * 300}] )", f"[p.7 | {'q' * 300}]"), ("", ""), (None, None), ("  \n", "  \n")],
+)
+def test_citation_place(spark, given_, want):
+    df = spark.createDataFrame([(7, given_, "x")], "key long, body string, at string")
+    assert [tuple(r) for r in citations.place(df, "key", "body").collect()] == [(7, want)]
 
 
-def test_segments():
-    assert citations.segments("a [p.0] b [doc x p. 2|q] c") == [("text", "a [p.0] b ", None, None), ("citation", None, 2, "doc x"), ("text", " c", None, None)]
-    assert citations.segments("") == []
+def test_segments(spark):
+    df = spark.createDataFrame([(1, "a [p.0] b [doc x p. 2|q] c"), (2, ""), (3, "[p.4][p.5]")], "id long, text string")
+    got = [(r.id, r.kind, r.content, r.page, r.doc) for r in citations.segments(df, "id", "text").orderBy("id", "n").collect()]
+    assert got == [(1, "text", "a [p.0] b ", None, None), (1, "citation", None, 2, "doc x"), (1, "text", " c", None, None), (3, "citation", None, 4, None), (3, "citation", None, 5, None)]
 
 
 def test_titles(spark):
@@ -58,10 +63,25 @@ def test_heading_tree(spark):
     df = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(md)], "doc_id long, page int, text string")
     got = {r.title: (r.level, r.parent) for r in trees.heading_tree(df).collect()}
     assert got == {"문서": (1, None), "개요": (2, 1), "배경": (3, 2), "목표": (3, 2), "결론": (2, 1)}
+    md = ["```", "# a ##", "```", "   ## b [x p. 3]", "~~~", "# c", "see [p.4]", "    # code", "#d"]  # the last fence never closes: none counts
+    df = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(md)], "doc_id long, page int, text string")
+    got = [(r.title, r.level, r.parent, r.cited_page, r.cited_doc) for r in trees.heading_tree(df).orderBy("line").collect()]
+    assert got == [("a", 1, None, None, None), ("b", 2, 2, 3, "x"), ("c", 1, None, 4, None)]
 
 
 def test_math():
     assert trees.math_marks(r"\(a\) \[b\] `\(c\)` \[p. 3\] \( \)") == r"$$a$$ $$b$$ `\(c\)` \[p. 3\] \( \)"
+    assert trees.math_marks("\\[\nE=mc\n\\] \\(a\nb\\) \\[a\n \nb\\]") == "$$\nE=mc\n$$ \\(a\nb\\) \\[a\n \nb\\]"
+    assert trees.math_marks(r"$\(x\) \\(y\\) \(a $ b\) \\[6pt] \[note p. x\]") == r"$\(x\) \\(y\\) \(a $ b\) \\[6pt] $$note p. x$$"
+    assert trees.math_marks(r"\(σ^2\) `\(c\)`", marks=False) == r"σ^2 `\(c\)`"
+
+
+@pytest.mark.parametrize("text", ["\\(" * 100_000, "\\[" * 100_000 + "\\]", "\\(" * 50_000 + "\n" + "\\)" * 50_000, "\\( $" * 40_000 + "\\)", "\\(   " * 40_000 + "\\)"])
+def test_math_takes_linear_time(text):
+    """195 KB and more in well under a second."""
+    began = time.process_time()
+    trees.math_marks(text)
+    assert time.process_time() - began < 1
 
 
 def item(text, x, y, width=10.0, eol=False, size=10.0):
@@ -137,7 +157,7 @@ def naive_fill(lengths, budget):
 def test_water_fill(spark):
     cases = [[5, 5, 5], [103] * 6, [9, 500], [0, 0, 70, 90], [60, 59, 58]]
     df = spark.createDataFrame([(k, i, "x" * n) for k, c in enumerate(cases) for i, n in enumerate(c)], "doc_id long, page int, text string")
-    got = budgets.water_fill(df, "doc_id", "page", budget=120).collect()
+    got = budgets.water_fill(df, "doc_id", "page", budget=120, gap=0).collect()
     for k, c in enumerate(cases):
         assert [r.allowed for r in sorted((r for r in got if r.doc_id == k), key=lambda r: r.page)] == naive_fill(c, 120)
 
