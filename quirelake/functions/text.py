@@ -286,3 +286,38 @@ def page_label(page: Column) -> Column:
 
 def clamp_page(page: Column, most: Column) -> Column:
     return F.when((page >= 1) & (page <= most), F.floor(page))
+
+
+def full_range(start: Column, end: Column, pages: Column) -> Column:
+    """Whether a range of pages (null: none) covers a document."""
+    return F.when(start.isNull() | end.isNull(), True).otherwise((start <= 1) & (end >= pages))
+
+
+def good_size(value: Column, fallback: float) -> Column:
+    """A size given as text or number, or the fallback where it is no finite positive number."""
+    n = value.try_cast("double")
+    return F.when((n > 0) & (n < float("inf")) & ~F.isnan(n), n).otherwise(float(fallback))
+
+
+def pick_summary(summaries: Column, kind: Column) -> Column:
+    """The content of a map's summary of that kind, else of its first kind; null if that is empty or there is none."""
+    own = F.try_element_at(summaries, kind)["content"]
+    return F.when(F.length(own) > 0, own).otherwise(F.get(F.map_values(summaries), F.lit(0))["content"])
+
+
+def readable_again(path: Column) -> Column:
+    """Whether a path leads to a folder, so that the file can be read again."""
+    return F.coalesce(path.rlike(r"[/\\\\]"), F.lit(False))
+
+
+def raster_kind(width: Column, height: Column, size: Column) -> Column:
+    """What an image's bytes can be: rgba, rgb or gray by their number for each pixel; null if too few."""
+    pixels = width.cast("long") * height
+    return F.when(size >= 4 * pixels, "rgba").when(size >= 3 * pixels, "rgb").when(size >= pixels, "gray")
+
+
+def searchable(model: Column, dim: Column, vector: Column, most: int = 8192) -> Column:
+    """Whether a semantic search makes sense: a model's name, a whole dimension within bounds, and as many finite numbers."""
+    whole = (dim == F.floor(dim)) & (dim > 0) & (dim <= most)
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.length(model) > 0) & whole & (F.size(vector) == dim) & finite, F.lit(False))

@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 ITEM = "array<struct<str:string,transform:array<double>,width:double,has_eol:boolean>>"
 
-
-def assemble(items: list[dict]) -> str:
-    """Joins items by where they stand: a space after a gap, a line break after a step across, a blank line for empty items that end lines."""
-    out: list[str] = []
-    last, blank = None, 0
-    for item in items:
-        text, at = item.get("str"), item.get("transform")
-        if not isinstance(text, str):
-            continue
-        if not text:
-            blank += 1 if item.get("has_eol") and last is not None else 0
-            continue
-        if at is None or len(at) < 6:
-            if out:
-                out.append("\n\n" if blank else " ")
-            out.append(text)
-            last, blank = None, 0
-            continue
-        a, b, c, d, x, y = (float(v) for v in at[:6])
-        font = math.hypot(a, b) or math.hypot(c, d) or 12.0
-        way = (a / math.hypot(a, b), b / math.hypot(a, b)) if math.hypot(a, b) else (1.0, 0.0)
-        width = item.get("width")
-        advance = float(width) if width is not None and width == width else len(text) * font / 2
-        if last is not None:
-            dx, dy = x - last["x"], y - last["y"]
-            along, across = dx * last["way"][0] + dy * last["way"][1], abs(dx * last["way"][1] - dy * last["way"][0])
-            scale = max(font, last["font"])
-            if last["eol"] or blank or across > scale / 2:
-                out.append("\n\n" if blank else "\n")
-            elif along > last["advance"] + 0.3 * scale:
-                out.append(" ")
-        out.append(text)
-        last, blank = {"x": x, "y": y, "way": way, "advance": advance, "font": font, "eol": bool(item.get("has_eol"))}, 0
-    return "".join(out)
-
-
-def page_texts(pages: DataFrame) -> DataFrame:
-    """pages (.., items) -> text in place of items."""
-
-    @F.pandas_udf(StringType())
-    def joined(items: pd.Series) -> pd.Series:
-        return items.map(lambda x: assemble(list(x)) if x is not None else "")
-
-    return pages.withColumn("text", joined("items")).drop("items")
+# Fixed values of the rules, as shares of the larger of two neighbours' font sizes: a step across the line, a gap along it; and the size where none is given.
+ACROSS, GAP, SIZE = 0.5, 0.3, 12.0
+
+
+def _placed(item: Column) -> dict[str, Column]:
+    """What the separator before or after an item depends on; null where it has no place."""
+    t = item["transform"]
+    m = [F.get(t, F.lit(k)) for k in range(6)]
+    along, across = F.hypot(m[0], m[1]), F.hypot(m[2], m[3])
+    there = F.size(t) >= 6
+    font = F.when(along > 0, along).when(across > 0, across).otherwise(SIZE)
+    width = F.when(F.isnan(item["width"]), None).otherwise(item["width"])
+    cols = {"x": m[4], "y": m[5], "ux": F.when(along > 0, m[0] / along).otherwise(1.0), "uy": F.when(along > 0, m[1] / along).otherwise(0.0), "font": font, "advance": F.coalesce(width, F.length(item["str"]) * font / 2)}
+    return {k: F.when(there, c) for k, c in cols.items()}
+
+
+def page_texts(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """pages (keys, items) -> keys, text: the items' texts in order, with what their places put between neighbours.
+
+    A step across the line of writing, or an item that ends its line, puts a line break; a gap along it a blank; empty
+    items that end lines a blank line. An item without a place is set off by a blank, and nothing is known about the gap
+    after it. Items without text are left out. A page without items is empty. keys must tell pages apart.
+    """
+    rows = pages.select(*keys, F.posexplode("items").alias("at", "item")).where(F.col("item.str").isNotNull())
+    w = Window.partitionBy(*keys).orderBy("at")
+    ends = F.coalesce(F.col("item.has_eol"), F.lit(False))
+    empty = F.col("item.str") == ""
+    rows = rows.withColumn("blanks", F.sum((empty & ends).cast("int")).over(w)).where(~empty)
+    rows = rows.withColumns(_placed(F.col("item")) | {"eol": F.coalesce(F.col("item.has_eol"), F.lit(False))})
+    last = {c: F.lag(c).over(w) for c in ("x", "y", "ux", "uy", "font", "advance", "eol", "blanks", "at")}
+    rows = rows.withColumns({f"last_{k}": c for k, c in last.items()})
+    dx, dy, scale = F.col("x") - F.col("last_x"), F.col("y") - F.col("last_y"), F.greatest("font", "last_font")
+    along, across = dx * F.col("last_ux") + dy * F.col("last_uy"), F.abs(dx * F.col("last_uy") - dy * F.col("last_ux"))
+    blank = F.col("last_x").isNotNull() & (F.col("blanks") > F.col("last_blanks"))
+    between = (
+        F.when(F.col("last_at").isNull(), "")
+        .when(F.col("x").isNull(), F.when(blank, "\n\n").otherwise(" "))
+        .when(F.col("last_x").isNull(), "")
+        .when(blank, "\n\n")
+        .when(F.col("last_eol") | (across > ACROSS * scale), "\n")
+        .when(along > F.col("last_advance") + GAP * scale, " ")
+        .otherwise("")
+    )
+    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
+    made = rows.withColumn("part", F.concat(between, F.col("item.str"))).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("text"))
+    return pages.select(*keys).join(made, list(keys), "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,39 +47,35 @@ def whole_chunks(text: str, most: int) -> list[str]:
     return [c[i : i + most] for c in packed for i in range(0, len(c), most)]
 
 
+def packed(text: str, limit: int, overlap: int) -> Iterator[tuple[str, int, int]]:
+    """(what is carried over, begin, end) of runs of paragraphs: each run takes all that fit limit, one at least.
+
+    The paragraphs' ends ascend, so a run's last paragraph is found by bisection.
+    """
+    gaps = [g.span() for g in GAP.finditer(text)]
+    begins, ends = [0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(text)]
+    i, carried = 0, ""
+    while i < len(begins):
+        room = limit - (len(carried) + 2 if carried else 0)
+        j = max(i + 1, bisect_right(ends, begins[i] + room))
+        yield carried, begins[i], ends[j - 1]
+        carried, i = tail(text[begins[i] : ends[j - 1]], overlap), j
+
+
 def overlap_chunks(text: str, most: int, overlap: int) -> list[tuple[str, int, int]]:
-    """(text, body begin, body end): chunks of most characters and a tail of the one before."""
+    """(text, body begin, body end): chunks of most characters and a tail of the one before.
+
+    A run longer than most and overlap together is cut into pieces; each gets its share of the run's span.
+    """
     if len(text) <= most:
         return [(text, 0, len(text))] if text.strip() else []
-    limit, spans, at = most + overlap, [], 0
-    for gap in GAP.finditer(text):
-        spans.append((at, gap.start()))
-        at = gap.end()
-    spans.append((at, len(text)))
-    out: list[tuple[str, int, int]] = []
-    carried, begin, end = "", spans[0][0], spans[0][0]
-
-    def flush() -> None:
-        body = text[begin:end]
-        full = (f"{carried}\n\n{body}" if carried else body).strip()
-        if not full:
-            return
-        if len(full) <= limit:
-            out.append((full, begin, end))
-            return
-        pieces, length = [full[i : i + limit] for i in range(0, len(full), limit)], end - begin
-        for k, piece in enumerate(pieces):
-            a = begin + k * length // len(pieces)
-            b = end if k == len(pieces) - 1 else begin + (k + 1) * length // len(pieces)
-            out.append((tail(pieces[k - 1], overlap) + piece if k else piece, a, max(b, a + 1)))
-
-    first = True
-    for a, b in spans:
-        if not first and (len(carried) + 2 if carried else 0) + b - begin > limit:
-            flush()
-            carried, begin = tail(text[begin:end], overlap), a
-        end, first = b, False
-    flush()
+    limit, out = most + overlap, []
+    for carried, begin, end in packed(text, limit, overlap):
+        full = "\n\n".join(x for x in (carried, text[begin:end]) if x or not carried).strip()
+        n = -(-len(full) // limit)
+        cut = [full[k * limit : (k + 1) * limit] for k in range(n)]
+        at = [begin + k * (end - begin) // n for k in range(n)] + [end]
+        out += [(tail(cut[k - 1], overlap) + cut[k] if k else cut[k], at[k], max(at[k + 1], at[k] + 1) if n > 1 else end) for k in range(n)]
     return out
 
 

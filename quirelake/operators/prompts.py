@@ -69,6 +69,29 @@ def build_prompts(rows: DataFrame, first: str = "ko") -> DataFrame:
     return out.withColumn("prompt", F.replace(F.coalesce("template", "base"), F.lit("{text}"), F.col("text"))).drop("template", "base")
 
 
+# The headers and rules of the second try.
+REFINE = """
+
+[질문]
+{question}
+
+[초안 답변]
+{draft}
+
+위 초안 답변 중 원문(컨텍스트) 에서 근거를 찾을 수 있는 내용만 남기고 다시 작성하세요.
+규칙:
+- 원문에 명시되지 않은 주장은 제거하거나 "문서에서 확인되지 않음" 으로 표시
+- 문체와 구조(문단/목록 형식) 는 초안을 그대로 유지
+- [p.N] 인용은 근거 페이지를 찾으면 그대로, 찾을 수 없으면 제거
+- 새 정보를 추가하지 말고 초안의 정확성만 개선"""
+
+
+def refine_prompt(question: Column, draft: Column, context: Column) -> Column:
+    """The prompt that asks for a draft's supported part only."""
+    parts = REFINE.replace("{draft}", "{question}").split("{question}")
+    return F.concat(context, F.lit(parts[0]), question, F.lit(parts[1]), draft, F.lit(parts[2]))
+
+
 def collection_prompt(blocks: DataFrame, by: str, order: str) -> DataFrame:
     """One prompt per collection from its members' blocks (file_name, body); headings inside bodies are escaped."""
     escaped = F.regexp_replace("body", r"(?m)^(\s*)(#{1,6}\s)", r"$1\\$2")

@@ -104,3 +104,21 @@ def persist_plan(rows: DataFrame) -> DataFrame:
     busy = ~F.col("flushing") & F.col("busy")
     mode = F.when(~F.col("enabled") | F.col("restoring") | busy, "skip").when(~F.col("index_changed") & F.col("summary_done"), "patch").otherwise("full")
     return rows.withColumns({"mode": mode, "keep_index": F.col("indexing") | F.col("failed") | (F.col("chunks") == 0)})
+
+
+def cap_index(sessions: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """sessions (blob_bytes, embed_model, embed_dim, chunk_count, ..): an index larger than most bytes isn't stored, and nothing tells of one."""
+    over = F.coalesce(F.col("blob_bytes") > most, F.lit(False))
+    out = {c: F.when(~over, F.col(c)) for c in ("blob_bytes", "embed_model", "embed_dim")}
+    return sessions.withColumns(out | {"chunk_count": F.when(over, 0).otherwise(F.col("chunk_count"))})
+
+
+def stored_bytes(body: Column, blob_bytes: Column, meta: Column) -> Column:
+    """What a session takes: its text, its vectors and their texts, in UTF-8."""
+    return F.coalesce(F.octet_length(body), F.lit(0)) + F.coalesce(blob_bytes, F.lit(0)) + F.coalesce(F.octet_length(meta), F.lit(0))
+
+
+def with_chunks(sessions: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """sessions (doc_hash, chunk_meta, ..) with the chunks of their sidecar (doc_hash, chunk_meta) where there is one, else their own (older files)."""
+    side = sidecars.groupBy("doc_hash").agg(F.max("chunk_meta").alias("__side"))
+    return sessions.join(side, "doc_hash", "left").withColumn("chunk_meta", F.coalesce("__side", "chunk_meta")).drop("__side")

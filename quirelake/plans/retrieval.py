@@ -17,8 +17,9 @@ def context(hits: DataFrame, by: str, *, budget: int = 8000, named: bool = False
     page = F.coalesce(T.page_label(F.col("page")), F.lit(""))
     if named:
         inner = F.when(F.col("page") >= 1, F.concat(F.lit(" p."), F.col("page").cast("string"))).otherwise("")
-        page = F.concat(F.lit("["), T.doc_label(F.col("file_name")), inner, F.lit("]"))
-    segment = F.when(page != "", F.concat(page, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+        label = T.doc_label(F.col("file_name"))
+        page = F.when(label != "", F.concat(F.lit("["), label, inner, F.lit("]"))).otherwise(page)
+    segment = F.when(F.lit(named) | (page != ""), F.concat(page, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
     rows = hits.withColumn("segment", segment).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "idx", F.col("segment").alias("text")))).alias("items"))
     kept = B.skip_budget(rows, "items", budget=budget)
     sorted_ = F.array_sort(F.transform("kept", lambda x: F.struct(x["doc"], x["idx"], x["text"])))

@@ -85,16 +85,27 @@ def test_math_takes_linear_time(text):
 
 
 def item(text, x, y, width=10.0, eol=False, size=10.0):
-    return {"str": text, "transform": [size, 0, 0, size, x, y], "width": width, "has_eol": eol}
-
-
-def test_assembly():
-    assert assembly.assemble([item("a", 0, 0), item("b", 11, 0)]) == "ab"
-    assert assembly.assemble([item("a", 0, 0), item("b", 20, 0)]) == "a b"
-    assert assembly.assemble([item("a", 0, 0), item("b", 0, 20)]) == "a\nb"
-    assert assembly.assemble([item("a", 0, 0), item("b", 10, 3)]) == "ab"
-    assert assembly.assemble([item("a", 0, 0), item("", 0, 0, eol=True), item("b", 0, 20)]) == "a\n\nb"
-    assert assembly.assemble([]) == ""
+    return {"str": text, "transform": [size, 0.0, 0.0, size, float(x), float(y)], "width": width, "has_eol": eol}
+
+
+def test_assembly(spark):
+    cases = [
+        ([item("a", 0, 0), item("b", 11, 0)], "ab"),
+        ([item("a", 0, 0), item("b", 20, 0)], "a b"),
+        ([item("a", 0, 0), item("b", 0, 20)], "a\nb"),
+        ([item("a", 0, 0), item("b", 10, 3)], "ab"),
+        ([item("a", 0, 0, eol=True), item("b", 10, 0)], "a\nb"),
+        ([item("a", 0, 0), item("", 0, 0, eol=True), item("b", 0, 20)], "a\n\nb"),
+        ([item("", 0, 0, eol=True), item("a", 0, 0), item("", 0, 0), item("b", 10, 0)], "ab"),
+        ([item("a", 0, 0), {"str": "b", "transform": None, "width": None, "has_eol": None}, item("", 0, 0, eol=True), item("c", 500, 500), item("d", 600, 500)], "a bc d"),
+        ([item("a", 0, 0), item("", 0, 0, eol=True), {"str": "b", "transform": [1.0], "width": 1.0, "has_eol": False}], "a\n\nb"),
+        ([item("ab", 0, 0, width=None), item("c", 12, 0), item("d", 40, 0, width=float("nan"))], "abc d"),  # two characters take one size
+        ([{"str": None, "transform": None, "width": None, "has_eol": True}, {"str": "t", "transform": [0.0, 10.0, -10.0, 0.0, 0.0, 0.0], "width": 5.0, "has_eol": None}, {"str": "u", "transform": [0.0, 10.0, -10.0, 0.0, 0.0, 20.0], "width": 5.0, "has_eol": None}], "t u"),
+        ([], ""),
+        (None, ""),
+    ]
+    df = spark.createDataFrame([(1, i, c) for i, (c, _) in enumerate(cases)], f"doc_id long, page int, items {assembly.ITEM}")
+    assert [r.text for r in assembly.page_texts(df).orderBy("page").collect()] == [t for _, t in cases]
 
 
 def test_chapters(spark):
