@@ -209,7 +209,7 @@ def repeated_windows(lists: list, width: int, most: int) -> list:
     return [np.packbits(flag[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, hot: int = 1 << 14, group_bytes: int = 8 << 20, owner_bytes: int = 24 << 20, most_words: int = 1 << 19, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 20, seed_width: int = 6, hot: int = 1 << 14, group_bytes: int = 6 << 20, owner_bytes: int = 16 << 20, most_words: int = 1 << 19, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if with_text) for each row.
 
     A window is width consecutive words (between ASCII blanks, unchanged) of one document. Every word goes that lies in a
