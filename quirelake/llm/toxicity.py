@@ -22,8 +22,6 @@ from .learn import held_out, training_rows
 #: Stripped from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_~`"
 PREFIXES = (4, 5, 6)
-#: Cells of a batch that stand at a time (8 bytes each).
-CELLS = 4 << 20
 
 
 class Terms(dict):
@@ -72,41 +70,41 @@ class FactorMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(rows), -30, 30)))
 
     def train(self, rows: list[list[int]], y: np.ndarray, *, epochs: int, rate: float, decay: float, seed: int) -> None:
-        """AdaGrad on the log loss, batch by batch in a seeded order. A batch is a 0/1 matrix, rows by the terms they have, of which at most CELLS cells (one row at least) stand at a time."""
+        """AdaGrad on the log loss, batch by batch in a seeded order. Sums run over a batch's (row, term) entries, by row and by term; no matrix products, whose threads would spin on so little."""
         rng, size, factors = np.random.default_rng(seed), 64, self.v.shape[1]
         start, shrink = np.where(self.telling, 1e-6, 1.0), np.where(self.telling, decay, 10 * decay)  # other terms start with small steps: many are in a few rows only
         gw, gv, gb = start.copy(), np.repeat(start[:, None], factors, axis=1), 1e-6
         rows, y = [np.asarray(x, np.int64) for x in rows], np.asarray(y, float)
-        seen, place = np.zeros(len(self.terms), bool), np.zeros(len(self.terms), np.int64)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), size):
                 part = order[at : at + size]
-                for i in part:
-                    seen[rows[i]] = True
-                used = np.flatnonzero(seen)  # only these terms' weights move
-                seen[used], place[used] = False, np.arange(len(used))
+                lens = np.array([len(rows[i]) for i in part])
+                x, row = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), lens)
+                by_term = np.argsort(x)
+                first = np.flatnonzero(np.diff(x[by_term], prepend=-1))
+                used, place = x[by_term[first]], np.empty(len(x), np.int64)  # only these terms' weights move
+                place[by_term] = np.repeat(np.arange(len(used)), np.diff(first, append=len(x)))
                 w, v = self.w[used], self.v[used]
-                told, back, slope = np.column_stack((v, w, (v**2).sum(axis=1))), np.zeros((len(used), factors + 1)), 0.0
-                step = max(1, CELLS // max(1, len(used)))
-                for some in (part[i : i + step] for i in range(0, len(part), step)):
-                    has = np.zeros((len(some), len(used)))
-                    for one, i in zip(has, some, strict=True):
-                        one[place[rows[i]]] = 1
-                    got = has @ told
-                    sums = got[:, :factors]
-                    margin = self.bias + got[:, factors] + 0.5 * ((sums**2).sum(axis=1) - got[:, -1])
-                    err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[some]) / len(part)
-                    back += has.T @ np.column_stack((err[:, None] * sums, err))
-                    slope += err.sum()
+                got = np.zeros((len(part), factors + 2))
+                got[lens > 0] = sums_from(np.column_stack((v, w, (v**2).sum(axis=1)))[place], (np.cumsum(lens) - lens)[lens > 0])
+                sums = got[:, :factors]
+                margin = self.bias + got[:, factors] + 0.5 * ((sums**2).sum(axis=1) - got[:, -1])
+                err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]) / len(part)
+                back = sums_from(np.column_stack((err[:, None] * sums, err))[row[by_term]], first)
                 dw = back[:, -1] + shrink[used] * w
                 dv = back[:, :-1] - back[:, -1:] * v + shrink[used, None] * v
                 gw[used] += dw**2
                 gv[used] += dv**2
-                gb += slope**2
+                gb += err.sum() ** 2
                 self.w[used] -= rate * dw / np.sqrt(gw[used])
                 self.v[used] -= rate * 0.3 * dv / np.sqrt(gv[used])
-                self.bias -= rate * slope / gb**0.5
+                self.bias -= rate * err.sum() / gb**0.5
+
+
+def sums_from(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the rows of values from each of begins to the next."""
+    return np.add.reduceat(values, begins, axis=0) if len(begins) else values[:0]
 
 
 def seen_terms(rows: list[np.ndarray], y: np.ndarray, bits: int, least: int, z: float) -> tuple[np.ndarray, np.ndarray]:
