@@ -12,42 +12,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import mix, slices
 from .learn import held_out, training_rows
 
 #: Stripped from both ends of a word.
-EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_~`"
+EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_~`"
 PREFIXES = (4, 5, 6)
-
-
-class Terms(dict):
-    """The hashed terms of a word, remembered."""
-
-    def __init__(self, bits: int, keep: np.ndarray | None = None, most: int = 300_000):
-        super().__init__()
-        self.bits, self.most = bits, most
-        self.at = None if keep is None else {int(t): i for i, t in enumerate(keep)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        bare = word.strip(EDGES).lower()
-        terms = {xxhash.xxh3_64_intdigest(bare) >> (64 - self.bits)} if bare else set()
-        terms |= {xxhash.xxh3_64_intdigest(bare[:n], seed=n) >> (64 - self.bits) for n in PREFIXES if len(bare) > n}
-        out = self[word] = tuple(terms) if self.at is None else tuple(self.at[t] for t in terms if t in self.at)
+#: Multiplier of the hash: a sum over bytes of (byte + 1) times its powers.
+BASE = 0x9E3779B97F4A7C15
+LOW = (1 << 32) - 1
+
+
+class Terms:
+    """The hashed terms of texts; with keep, those of keep alone, by their place in it."""
+
+    def __init__(self, bits: int, keep: np.ndarray | None = None):
+        self.bits, self.place = bits, None
+        if keep is not None:
+            self.place = np.full(1 << bits, -1)
+            self.place[keep] = np.arange(len(keep))
+
+    def of(self, texts: pa.Array, most: int = 1 << 20) -> list[np.ndarray]:
+        """The distinct terms of each text, ascending; null has none. About most bytes of text are spread out at a time."""
+        texts, at, out = texts.fill_null(""), 0, []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+            out += self._of_part(texts.slice(at, to - at))
+            at = to
         return out
 
-    def of(self, text: bytes) -> list[int]:
-        """The distinct terms of a text (those kept, by their place, if some are kept)."""
-        if len(self) > self.most:
-            self.clear()
-        found: set[int] = set()
-        for terms in map(self.__getitem__, set(text.split())):
-            if terms:
-                found.update(terms)
-        return sorted(found)
+    def _of_part(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        pairs = distinct(text << 32 | words.indices.to_numpy())  # a text's words, then its terms
+        terms = self.of_words(words.dictionary)[pairs & LOW]
+        pairs = distinct((pairs[:, None] >> 32 << 32 | terms)[terms >= 0])
+        return np.split(pairs & LOW, np.searchsorted(pairs, np.arange(1, len(texts)) << 32))
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """A row for each word: its own term and its beginnings', -1 where there is none."""
+        bare = pc.ascii_lower(pc.ascii_trim(words, characters=EDGES))
+        bare = bare.cast(pa.large_binary())
+        begins = np.frombuffer(bare.buffers()[1], np.int64)[: len(bare) + 1]
+        lens, begins, data = np.diff(begins), begins[:-1], np.frombuffer(bare.buffers()[2] or b"", np.uint8)[: begins[-1]]
+        powers = np.cumprod(np.full(lens.max(initial=0), BASE, np.uint64), dtype=np.uint64)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(begins, lens)], out=sums[1:])
+        out = np.full((len(bare), 1 + len(PREFIXES)), -1)
+        for i, n in enumerate((0, *PREFIXES)):
+            has = lens > n
+            begin, size = begins[has], n or lens[has]
+            out[has, i] = mix(mix(sums[begin + size] - sums[begin]) + np.uint64(n)) >> np.uint64(64 - self.bits)
+        return out if self.place is None else np.where(out < 0, -1, self.place[out])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in ascending order, each once."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) != 0]
 
 
 class FactorMachine:
@@ -58,22 +86,28 @@ class FactorMachine:
         self.w = np.zeros(len(terms))
         self.v = np.random.default_rng(seed).normal(0, 1, (len(terms), factors)) * np.where(telling, 0.05, 0.01)[:, None]
 
-    def margin(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.full(len(rows), self.bias)
-        for i, x in enumerate(rows):
-            if x:
-                v = self.v[x]
-                out[i] += self.w[x].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+    def table(self) -> np.ndarray:
+        """A row for each term: its factors, its weight, the sum of its squared factors."""
+        return np.column_stack((self.v, self.w, squares(self.v)))
+
+    def margin(self, rows: list[np.ndarray], table: np.ndarray | None = None) -> np.ndarray:
+        """Of sets of terms, by their places; table() may be handed in, so that it is made once."""
+        out, lens = np.full(len(rows), self.bias), np.array([len(x) for x in rows], np.int64)
+        if lens.any():
+            x = np.concatenate([np.asarray(x, np.int64) for x in rows])
+            got = sums_from((self.table() if table is None else table)[x], (np.cumsum(lens) - lens)[lens > 0])
+            out[lens > 0] += got[:, -2] + 0.5 * (squares(got[:, :-2]) - got[:, -1])
         return out
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(rows), -30, 30)))
+    def score(self, rows: list[np.ndarray], table: np.ndarray | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(rows, table), -30, 30)))
 
-    def train(self, rows: list[list[int]], y: np.ndarray, *, epochs: int, rate: float, decay: float, seed: int) -> None:
+    def train(self, rows: list[np.ndarray], y: np.ndarray, *, epochs: int, rate: float, decay: float, seed: int) -> None:
         """AdaGrad on the log loss, batch by batch in a seeded order. Sums run over a batch's (row, term) entries, by row and by term; no matrix products, whose threads would spin on so little."""
         rng, size, factors = np.random.default_rng(seed), 64, self.v.shape[1]
         start, shrink = np.where(self.telling, 1e-6, 1.0), np.where(self.telling, decay, 10 * decay)  # other terms start with small steps: many are in a few rows only
-        gw, gv, gb = start.copy(), np.repeat(start[:, None], factors, axis=1), 1e-6
+        state, past, past_bias = np.column_stack((self.v, self.w)), np.repeat(start[:, None], factors + 1, axis=1), 1e-6
+        step = rate * np.append(np.full(factors, 0.3), 1.0)
         rows, y = [np.asarray(x, np.int64) for x in rows], np.asarray(y, float)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -85,21 +119,26 @@ class FactorMachine:
                 first = np.flatnonzero(np.diff(x[by_term], prepend=-1))
                 used, place = x[by_term[first]], np.empty(len(x), np.int64)  # only these terms' weights move
                 place[by_term] = np.repeat(np.arange(len(used)), np.diff(first, append=len(x)))
-                w, v = self.w[used], self.v[used]
+                own = state.take(used, axis=0)
                 got = np.zeros((len(part), factors + 2))
-                got[lens > 0] = sums_from(np.column_stack((v, w, (v**2).sum(axis=1)))[place], (np.cumsum(lens) - lens)[lens > 0])
+                got[lens > 0] = sums_from(np.column_stack((own, squares(own[:, :-1]))).take(place, axis=0), (np.cumsum(lens) - lens)[lens > 0])
                 sums = got[:, :factors]
-                margin = self.bias + got[:, factors] + 0.5 * ((sums**2).sum(axis=1) - got[:, -1])
+                margin = self.bias + got[:, factors] + 0.5 * (squares(sums) - got[:, -1])
                 err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]) / len(part)
-                back = sums_from(np.column_stack((err[:, None] * sums, err))[row[by_term]], first)
-                dw = back[:, -1] + shrink[used] * w
-                dv = back[:, :-1] - back[:, -1:] * v + shrink[used, None] * v
-                gw[used] += dw**2
-                gv[used] += dv**2
-                gb += err.sum() ** 2
-                self.w[used] -= rate * dw / np.sqrt(gw[used])
-                self.v[used] -= rate * 0.3 * dv / np.sqrt(gv[used])
-                self.bias -= rate * err.sum() / gb**0.5
+                slope = sums_from(np.column_stack((err[:, None] * sums, err)).take(row[by_term], axis=0), first)
+                slope[:, :-1] -= slope[:, -1:] * own[:, :-1]
+                slope += shrink[used, None] * own
+                seen = past.take(used, axis=0) + slope**2
+                past[used] = seen
+                state[used] = own - step * slope / np.sqrt(seen)
+                past_bias += err.sum() ** 2
+                self.bias -= rate * err.sum() / past_bias**0.5
+        self.v, self.w = state[:, :-1].copy(), state[:, -1].copy()
+
+
+def squares(values: np.ndarray) -> np.ndarray:
+    """The sum of the squares of each row."""
+    return np.einsum("ij,ij->i", values, values)
 
 
 def sums_from(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -124,7 +163,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(bits)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([terms.of(t) for t in as_bytes(batch.column("t"))], pa.list_(pa.int32()))], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(terms.of(batch.column("t")), pa.list_(pa.int32()))], ["id", "y", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.select("id", rows.y.cast("int").alias("y"), "t").mapInArrow(hashed, f"id {kind}, y int, x array<int>").toArrow()
@@ -134,7 +173,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     keep, telling = seen_terms(x, y, bits, least, z) if len(y) else (np.zeros(0, np.int64), np.zeros(0, bool))
     place = np.full(1 << bits, -1)
     place[keep] = np.arange(len(keep))
-    x = [(p := place[v])[p >= 0].tolist() for v in x]
+    x = [(p := place[v])[p >= 0] for v in x]
     model = FactorMachine(keep, telling, factors, seed, bits)
     rate_1 = (y.sum() + 0.5) / (len(y) + 1)
     model.bias = float(np.log(rate_1 / (1 - rate_1)))
@@ -148,9 +187,10 @@ def score_toxicity(docs: DataFrame, model: FactorMachine, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value.bits, shared.value.terms)
-        for batch in slices(batches):
-            scores = shared.value.score([terms.of(t) for t in as_bytes(batch.column("t"))])
+        model = shared.value
+        terms, factors = Terms(model.bits, model.terms), model.table()
+        for batch in slices(batches, 64):
+            scores = model.score(terms.of(batch.column("t")), factors)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, folds).alias("held_out"), F.col(text_col).cast("string").alias("t"))
