@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +79,11 @@ SECTIONS = ("[질문]", "[이전 대화]", "[요약 내용]", "[원문 관련 
 BAD_URL_CHAR = r"[\u0000-\u001F\u007F‪-‮⁦-⁩]"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once a row however often it is named, inside other functions too."""
+    return F.transform(F.array(value), of)[0]
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
@@ -123,9 +129,8 @@ def sample_evenly(c: Column, size: int = 2000, buckets: int = 10) -> Column:
 
 
 def chars_per_token(c: Column) -> Column:
-    s = sample_evenly(c)
-    ratio = (F.length(s) - F.length(F.regexp_replace(s, CJK_CHARS, ""))) / F.greatest(F.length(s), F.lit(1))
-    return F.greatest(F.lit(1.5), 4 - 2.5 * ratio)
+    ratio = lambda s: (F.length(s) - F.length(F.regexp_replace(s, CJK_CHARS, ""))) / F.greatest(F.length(s), F.lit(1))
+    return F.greatest(F.lit(1.5), 4 - 2.5 * once(sample_evenly(c), ratio))
 
 
 def split_points(c: Column, size: int) -> Column:

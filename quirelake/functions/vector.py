@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -12,9 +14,10 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """The unit vector; zeros for a zero or non-finite vector."""
-    n = norm(v)
-    good = (n > 0) & ~F.isnan(n) & (n < F.lit(float("inf")))
-    return F.transform(v, lambda x: F.when(good, x.cast("double") / n).otherwise(0.0).cast("float"))
+    good = lambda n: (n > 0) & ~F.isnan(n) & (n < F.lit(float("inf")))
+    scaled = lambda s: F.transform(s["v"], lambda x: F.when(s["good"], x.cast("double") / s["n"]).otherwise(0.0).cast("float"))
+    measured = lambda w: once(norm(w), lambda n: F.struct(w.alias("v"), n.alias("n"), good(n).alias("good")))
+    return once(v, lambda w: once(measured(w), scaled))
 
 
 def dot(a: Column, b: Column) -> Column:

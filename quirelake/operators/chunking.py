@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .pages import page_at, page_offsets
 
 # Fixed value: characters that a tail may begin after.
 BOUNDARY = frozenset(" \n\t.!?,。，！？、：；:")
@@ -83,52 +84,96 @@ def _budget(size: float, per_token: float, least: int) -> int:
     return max(least, math.floor(size * per_token))
 
 
+# Types of a fold's columns in Spark and in Arrow.
+COLUMNS = {"doc_id": ("long", pa.int64()), "chunk": ("int", pa.int32()), "text": ("string", pa.string()), "body_start": ("long", pa.int64()), "body_end": ("long", pa.int64()), "page_start": ("int", pa.int32()), "page_end": ("int", pa.int32())}
+
+
+def _folded(docs: DataFrame, columns: tuple[str, ...], rows_of: Callable[..., Iterator[tuple]], most: int = 1 << 20) -> DataFrame:
+    """docs (doc_id, text, ..), document by document -> columns, whose rows rows_of (of a document's values) gives.
+
+    Only one document's text is a Python object at a time, and a batch is sent on when it has most characters: a task's
+    memory doesn't grow with the number of documents.
+    """
+    schema = pa.schema([(c, COLUMNS[c][1]) for c in columns])
+    at = columns.index("text")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for i in range(batch.num_rows):
+                for row in rows_of(*(c[i].as_py() for c in batch.columns)):
+                    rows.append(row)
+                    size += len(row[at]) + 64
+                    if size > most:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return docs.mapInArrow(fold, ", ".join(f"{c} {COLUMNS[c][0]}" for c in columns))
+
+
+def _measured(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty), characters per token."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), T.chars_per_token(text).alias("cpt"), *more)
+
+
 def chunk_documents(docs: DataFrame, size: int = 4000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, chunk, text: whole-document chunks of about size tokens."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, i, c) for d, t, k in zip(pdf.doc_id, pdf.text, pdf.cpt, strict=True) for i, c in enumerate(whole_chunks(t, _budget(size, k, 100)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text"])
+    def rows_of(doc: int, text: str, cpt: float) -> Iterator[tuple]:
+        return ((doc, i, c) for i, c in enumerate(whole_chunks(text, _budget(size, cpt, 100))))
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), T.chars_per_token(text).alias("cpt")).mapInPandas(fold, "doc_id long, chunk int, text string")
+    return _folded(_measured(docs), ("doc_id", "chunk", "text"), rows_of)
 
 
 def chunk_with_overlap(docs: DataFrame, size: int = 500, ratio: float = 0.1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, chunk, text, body_start, body_end."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for d, t, k in zip(pdf.doc_id, pdf.text, pdf.cpt, strict=True):
-                most = _budget(size, k, 200)
-                rows += [(d, i, *c) for i, c in enumerate(overlap_chunks(t, most, int(most * ratio)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "body_start", "body_end"])
+    def rows_of(doc: int, text: str, cpt: float) -> Iterator[tuple]:
+        most = _budget(size, cpt, 200)
+        return ((doc, i, *c) for i, c in enumerate(overlap_chunks(text, most, int(most * ratio))))
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), T.chars_per_token(text).alias("cpt")).mapInPandas(fold, "doc_id long, chunk int, text string, body_start long, body_end long")
+    return _folded(_measured(docs), ("doc_id", "chunk", "text", "body_start", "body_end"), rows_of)
 
 
 def chunk_pages(pages: DataFrame, size: int = 500, ratio: float = 0.1) -> DataFrame:
-    """pages (doc_id, page, text) -> chunks with page_start and page_end, by where their bodies lie."""
-    got = F.array_sort(F.collect_list(F.struct("page", "text")))
-    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(got, lambda x: x["text"]), "\n\n").alias("text"))
-    chunks = chunk_with_overlap(docs, size, ratio)
-    offsets = page_offsets(pages).select("doc_id", "offset", "page")
-    ends = F.greatest(F.col("body_start"), F.col("body_end") - 1)
-    places = chunks.select("doc_id", F.explode(F.array(F.col("body_start"), ends)).alias("at")).distinct()
-    at = page_at(offsets, places)
-    first, last = at.select("doc_id", F.col("at").alias("body_start"), F.col("page").alias("page_start")), at.select("doc_id", F.col("at").alias("last"), F.col("page").alias("page_last"))
-    out = chunks.withColumn("last", ends).join(first, ["doc_id", "body_start"]).join(last, ["doc_id", "last"])
-    return out.select("doc_id", "chunk", "text", "page_start", F.greatest("page_start", "page_last").alias("page_end"))
+    """pages (doc_id, page, text) -> chunks with page_start and page_end, by where their bodies lie.
+
+    A document's page numbers and lengths go with its joined text, so that its fold finds the pages by bisection.
+    """
+    got = F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "text")))
+    docs = pages.groupBy("doc_id").agg(got.alias("got"))
+    docs = docs.select("doc_id", F.array_join(F.transform("got", lambda x: x["text"]), "\n\n").alias("text"), F.col("got.page").alias("pages"), F.transform("got", lambda x: F.coalesce(F.length(x["text"]) + 2, F.lit(0))).alias("lengths"))
+
+    def rows_of(doc: int, text: str, cpt: float, numbers: list[int], lengths: list[int]) -> Iterator[tuple]:
+        most = _budget(size, cpt, 200)
+        begins = [0, *accumulate(lengths)][:-1]
+        page = lambda at: numbers[bisect_right(begins, at) - 1]
+        for i, (chunk, begin, end) in enumerate(overlap_chunks(text, most, int(most * ratio))):
+            first = page(begin)
+            yield doc, i, chunk, first, max(first, page(max(begin, end - 1)))
+
+    return _folded(_measured(docs, "pages", "lengths"), ("doc_id", "chunk", "text", "page_start", "page_end"), rows_of)
 
 
 def hash_embedding(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """A deterministic stand-in for an embedding model: signed hashed word counts, scaled to unit length."""
-    words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(dim)) == i, F.when(F.shiftright(x, 62).bitwiseAND(1) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    from ..functions.vector import normalize
 
-    return chunks.withColumn("v", v).withColumn("embedding", normalize(F.col("v"))).drop("v")
+    def vectors(hashes: pa.Array) -> pa.Array:
+        each = np.diff(hashes.offsets.to_numpy()) if not hashes.null_count else hashes.value_lengths().fill_null(0).to_numpy()
+        h = hashes.flatten().to_numpy()
+        rows = np.repeat(np.arange(len(hashes)), each)
+        sign = np.where(h >> 62 & 1 == 0, 1.0, -1.0)
+        v = np.bincount(rows * dim + h % dim, sign, len(hashes) * dim).astype(np.float64).reshape(-1, dim)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        unit = np.divide(v, n, out=np.zeros_like(v), where=n > 0).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dim, dtype=np.int32), unit.ravel())
+
+    words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: w != "")
+    # not to be repeated where a filter names the vector
+    return chunks.withColumn("embedding", F.arrow_udf(vectors, "array<float>").asNondeterministic()(F.transform(words, lambda w: F.xxhash64(w))))
