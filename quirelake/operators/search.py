@@ -72,15 +72,23 @@ def keyword_scores(pages: DataFrame, docs: DataFrame, summaries: DataFrame, quer
 def chunk_keyword_scores(chunks: DataFrame, words: Column, text: str = "text") -> DataFrame:
     """score: occurrences of all keywords (an array; a repeated one counts again) in the chunk without its citations.
 
-    ASCII keywords are whole words: the chunk is split into words once, and those that are keywords are looked up. Only
-    other keywords are searched for one by one.
+    ASCII keywords are whole words: one pattern finds all of them in one pass. Other keywords are counted one by one, if
+    they occur at all. The score stands in a generator, below which Spark moves no filter: there it would be computed again.
     """
-    low = F.lower(T.strip_citations(F.col(text)))
-    ascii_ = F.filter(words, lambda w: w.rlike("^[a-z0-9]+$"))
-    out = chunks.withColumn("__low", low).withColumn("__hits", F.filter(F.split("__low", "[^a-z0-9_]+"), lambda t: F.array_contains(ascii_, t)))
-    whole = F.aggregate("__hits", F.lit(0).cast("long"), lambda a, t: a + F.size(F.filter(ascii_, lambda w: w == t)))
-    others = F.aggregate(F.filter(words, lambda w: ~w.rlike("^[a-z0-9]+$")), F.lit(0).cast("long"), lambda a, w: a + T.occurrences(F.col("__low"), w))
-    return out.withColumn("score", whole + others).drop("__low", "__hits")
+    ascii_ = "^[a-z0-9]+$"
+    whole, parts = (lambda w: F.filter(w, lambda x: x.rlike(ascii_))), (lambda w: F.filter(w, lambda x: ~x.rlike(ascii_)))
+    pattern = lambda w: F.concat(F.lit("(?<![a-z0-9_])(?:"), F.array_join(F.array_distinct(w), "|"), F.lit(")(?![a-z0-9_])"))
+    kinds = T.once(T.once(words, lambda w: F.struct(whole(w).alias("whole"), parts(w).alias("parts"))), lambda k: F.struct(k["whole"], k["parts"], pattern(k["whole"]).alias("pattern")))
+    zero = F.lit(0).cast("long")
+
+    def count(s: Column) -> Column:
+        low, k = s["low"], s["kinds"]
+        found = F.when(F.size(k["whole"]) > 0, F.regexp_extract_all(low, k["pattern"], F.lit(0)))
+        hits = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), zero, lambda a, t: a + F.size(F.filter(k["whole"], lambda w: w == t)))
+        return hits + F.aggregate(k["parts"], zero, lambda a, w: a + F.when(F.contains(low, w), T.occurrences(low, w)).otherwise(zero))
+
+    score = T.once(F.struct(F.lower(T.strip_citations(F.col(text))).alias("low"), kinds.alias("kinds")), count)
+    return chunks.drop("score").select("*", F.explode(F.array(score)).alias("score"))
 
 
 def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], most: int = 10_000) -> DataFrame:
