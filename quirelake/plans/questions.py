@@ -10,6 +10,7 @@ from ..operators import citations as X
 from ..operators import collection as L
 from ..operators import search as S
 from ..operators.prompts import Embedder, Generator, build_prompts, refine_prompt
+from ..sources.shared import stored
 from .retrieval import context, keyword_context
 
 #: Sentences of an answer that are checked.
@@ -29,7 +30,7 @@ def document_context(index: DataFrame, docs: DataFrame, question: str, q: DataFr
     """docs (doc_id, text), index (doc_id, chunk, ..) and the question's vector -> doc_id, context, source: the best chunks, else those with its keywords."""
     hits = S.top_each(S.similar(index, q, least=least), "doc_id", k, "chunk")
     hits = hits.select("doc_id", "rank", F.lit("").alias("doc"), F.col("chunk").alias("idx"), "text", F.col("page_start").alias("page"))
-    found = context(hits, "doc_id", budget=budget).withColumn("source", F.lit("index"))
+    found = stored(context(hits, "doc_id", budget=budget).withColumn("source", F.lit("index")), "found")
     rest = docs.join(found.select("doc_id"), "doc_id", "left_anti")
     return found.unionByName(keyword_context(rest, question, budget=budget).where(T.trim(F.col("context")) != "").withColumn("source", F.lit("keywords")))
 
@@ -51,14 +52,17 @@ def answer_question(index: DataFrame, docs: DataFrame, question: str, embedder:
 
     The context goes to the model with the question; an answer whose sentences the index supports too weakly is given back
     with its draft once. Citations go to the ends of lines, small talk goes. Documents without a context have no row.
+    index should be a stored table: it is read twice. What later steps need more than once is stored too, or each would
+    compute all before it again.
     """
     spark = docs.sparkSession
     q = embedder.embed(spark.createDataFrame([(question,)], "text string")).select(F.col("embedding").alias("q"))
     asked = document_context(index, docs, question, q, least=least, budget=budget)
     asked = asked.withColumns({"lang": F.lit(lang), "kind": F.lit("qa"), "text": F.concat("context", F.lit("\n\n[질문]\n"), T.sanitize_prompt(F.lit(question)))})
-    drafts = generator.generate(build_prompts(asked)).select("doc_id", "context", "source", "answer")
+    drafts = stored(generator.generate(build_prompts(asked)).select("doc_id", "context", "source", "answer"), "drafts")
     judged = drafts.join(check(drafts, index, embedder), "doc_id", "left").withColumn("refine", F.coalesce("refine", F.lit(False)) & (F.col("source") == "index"))
+    judged = stored(judged, "judged")
     again = generator.generate(judged.where("refine").withColumn("prompt", refine_prompt(F.lit(question), F.col("answer"), F.col("context"))).drop("answer"))
-    out = judged.where("not refine").unionByName(again.select(*judged.columns))
+    out = stored(judged.where("not refine").unionByName(again.select(*judged.columns)).drop("context"), "answers")
     placed = X.place(out.select("doc_id", "answer"), "doc_id", "answer")
-    return out.drop("answer", "context").join(placed, "doc_id").select("doc_id", "source", F.col("refine").alias("refined"), "average", T.drop_small_talk(F.col("text")).alias("answer"))
+    return out.drop("answer").join(placed, "doc_id").select("doc_id", "source", F.col("refine").alias("refined"), "average", T.drop_small_talk(F.col("text")).alias("answer"))

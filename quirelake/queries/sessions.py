@@ -12,6 +12,7 @@ from ..operators import session as S
 from ..operators import store as O
 from ..plans import questions as Q
 from ..plans import retrieval as R
+from ..sources.shared import stored
 from ..sources.tables import manifest_of, pages_of, table
 from .search import _M, _P
 
@@ -139,7 +140,7 @@ def stored_sessions(spark: SparkSession, d: str) -> DataFrame:
 def answered_question(spark: SparkSession, d: str) -> DataFrame:
     """The whole question pipeline with the stand-in models."""
     docs = table(spark, d, "documents")
-    index = R.build_index(pages_of(docs), M.HashEmbedder())
+    index = stored(R.build_index(pages_of(docs), M.HashEmbedder()), "index")
     return Q.answer_question(index, docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "where is erat and the tion?", M.HashEmbedder(), M.ExtractiveGenerator(), least=0.1)
 
 
