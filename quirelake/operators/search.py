@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +94,58 @@ def chunk_keyword_scores(chunks: DataFrame, words: Column, text: str = "text") -
     return chunks.drop("score").select("*", F.explode(F.array(score)).alias("score"))
 
 
-def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], most: int = 10_000) -> DataFrame:
+def best_scores(queries: pa.Table, chunks: pa.Table, rows: int = 2048) -> np.ndarray:
+    """The best score of each query (column vec) over chunks (column vec); -inf where none has its dimension.
+
+    Vectors of each dimension meet as matrix products in double precision, rows by rows. A product with a null or a value
+    that is no number counts as 1, as in ``vector.dot``.
+    """
+    best = np.full(queries.num_rows, -np.inf)
+    (qd, q), (cd, c) = _by_dimension(queries["vec"]), _by_dimension(chunks["vec"])
+    for dim in sorted(set(qd) & set(cd)):
+        qs, cs = q(dim), c(dim)
+        for i in range(0, len(qs), rows):
+            at = qd[dim][i : i + rows]
+            for j in range(0, len(cs), rows):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    s = qs[i : i + rows].astype(np.float64) @ cs[j : j + rows].astype(np.float64).T
+                top = s.max(axis=1)  # not a number if one product is none
+                if np.isnan(top).any():
+                    top = np.where(np.isnan(s), 1.0, s).max(axis=1)
+                best[at] = np.maximum(best[at], np.clip(top, -1.0, 1.0))
+    return best
+
+
+def _by_dimension(vectors: pa.ChunkedArray) -> tuple[dict[int, np.ndarray], Callable[[int], np.ndarray]]:
+    """The places of the vectors of each dimension, and a function that gives these as a matrix."""
+    v = vectors.combine_chunks()
+    v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+    size = v.value_lengths().fill_null(-1).to_numpy()
+    places = {int(d): np.flatnonzero(size == d) for d in np.unique(size) if d >= 0}
+    return places, lambda d: v.take(pa.array(places[d])).flatten().to_numpy(zero_copy_only=False).reshape(len(places[d]), d)
+
+
+def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], most: int = 32_768) -> DataFrame:
     """support of each sentence (keys, embedding): its best score over all chunks (embedding), 0 at least.
 
-    Sentences are broadcast in blocks of counted size, each against all chunks; partial maxima meet after the shuffle.
+    Every pair is compared, exactly. Both sides are dealt, by hashes of all their columns, into blocks of about most rows;
+    each block of sentences meets each block of chunks in a task of its own, as matrix products in slices, and partial
+    maxima meet after it. A task's memory is that of two blocks; the number of tasks grows as the pairs do.
     """
-    s = sentences.select(*keys, F.col("embedding").alias("q"))
-    blocks, out = max(1, math.ceil(s.count() / most)), None
-    for b in range(blocks):
-        block = s if blocks == 1 else s.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
-        scored = chunks.select("embedding").join(F.broadcast(block), F.size("embedding") == F.size("q"))
-        found = scored.groupBy(*keys).agg(F.max(V.dot(F.col("embedding"), F.col("q"))).alias("m"))
-        out = found if out is None else out.unionByName(found)
-    return sentences.select(*keys).join(out, list(keys), "left").select(*keys, F.greatest(F.lit(0.0), F.coalesce("m", F.lit(0.0))).alias("support"))
+    s = sentences.select(*keys, F.col("embedding").alias("vec"))
+    n_s, n_c = (max(1, math.ceil(n / most)) for n in (s.count(), chunks.count()))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = s.withColumn("sb", F.pmod(F.xxhash64(*keys), F.lit(n_s)).cast("int")).select("*", each(n_c).alias("cb"))
+    right = chunks.select(F.pmod(F.xxhash64(*chunks.columns), F.lit(n_c)).cast("int").alias("cb"), F.col("embedding").alias("vec")).select("*", each(n_s).alias("sb"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = best_scores(a, b) if a.num_rows and b.num_rows else np.full(a.num_rows, -np.inf)
+        return a.select(list(keys)).append_column("m", pa.array(found, pa.float64()))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema if f.name in keys)
+    met = left.groupBy("sb", "cb").cogroup(right.groupBy("sb", "cb")).applyInArrow(meet, f"{types}, m double")
+    best = met.groupBy(*keys).agg(F.max("m").alias("m"))
+    return sentences.select(*keys).join(best, list(keys), "left").select(*keys, F.greatest(F.lit(0.0), F.coalesce("m", F.lit(0.0))).alias("support"))
 
 
 def verdict(support: DataFrame, by: str, *, weak: float = 0.5, mean: float = 0.65) -> DataFrame:
