@@ -97,25 +97,41 @@ def chunk_keyword_scores(chunks: DataFrame, words: Column, text: str = "text") -
 def best_scores(queries: pa.Table, chunks: pa.Table, rows: int = 2048) -> np.ndarray:
     """The best score of each query (column vec) over chunks (column vec); -inf where none has its dimension.
 
-    Vectors of each dimension meet as matrix products in double precision, rows by rows. A product with a null or a value
-    that is no number counts as 1, as in ``vector.dot``.
+    Vectors of each dimension meet as matrix products, rows by rows. Products of single precision rule out the slices that
+    can't hold a query's best, by a bound of their error; the rest is computed in double precision. A product with a null
+    or a value that is no number counts as 1, as in ``vector.dot``.
     """
     best = np.full(queries.num_rows, -np.inf)
     (qd, q), (cd, c) = _by_dimension(queries["vec"]), _by_dimension(chunks["vec"])
     for dim in sorted(set(qd) & set(cd)):
         qs, cs = q(dim), c(dim)
+        parts = [cs[j : j + rows] for j in range(0, len(cs), rows)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            qn, cn = _norms(qs), [_norms(b).max() for b in parts]
+            single = qs.dtype == cs.dtype == np.float32 and dim * qn.max() * np.max(cn) < 1e3  # false for a value that is no number
         for i in range(0, len(qs), rows):
-            at = qd[dim][i : i + rows]
-            for j in range(0, len(cs), rows):
+            at, a = qd[dim][i : i + rows], qs[i : i + rows]
+            if single:
+                wrong = [(dim + 2) * 2.0**-23 * qn[i : i + rows] * n + 1e-30 for n in cn]
+                tops = [(a @ b.T).max(axis=1) for b in parts]
+                least = np.max([t - w for t, w in zip(tops, wrong, strict=True)], axis=0)
+                open_ = [np.flatnonzero(t + w >= least) for t, w in zip(tops, wrong, strict=True)]
+            else:
+                open_ = [np.arange(len(a))] * len(parts)
+            for b, o in zip(parts, open_, strict=True):
                 with np.errstate(invalid="ignore", over="ignore"):
-                    s = qs[i : i + rows].astype(np.float64) @ cs[j : j + rows].astype(np.float64).T
+                    s = a[o].astype(np.float64) @ b.astype(np.float64).T
                 top = s.max(axis=1)  # not a number if one product is none
                 if np.isnan(top).any():
                     top = np.where(np.isnan(s), 1.0, s).max(axis=1)
-                best[at] = np.maximum(best[at], np.clip(top, -1.0, 1.0))
+                best[at[o]] = np.maximum(best[at[o]], np.clip(top, -1.0, 1.0))
     return best
 
 
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+
+
 def _by_dimension(vectors: pa.ChunkedArray) -> tuple[dict[int, np.ndarray], Callable[[int], np.ndarray]]:
     """The places of the vectors of each dimension, and a function that gives these as a matrix."""
     v = vectors.combine_chunks()
@@ -129,8 +145,9 @@ def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], mo
     """support of each sentence (keys, embedding): its best score over all chunks (embedding), 0 at least.
 
     Every pair is compared, exactly. Both sides are dealt, by hashes of all their columns, into blocks of about most rows;
-    each block of sentences meets each block of chunks in a task of its own, as matrix products in slices, and partial
-    maxima meet after it. A task's memory is that of two blocks; the number of tasks grows as the pairs do.
+    each block of sentences meets each block of chunks as matrix products in slices, and partial maxima meet after it. The
+    pairs of blocks are dealt to as many tasks, which adaptive execution doesn't merge, as their work is not in their bytes.
+    A task's memory is that of two blocks; the number of tasks grows as the pairs do.
     """
     s = sentences.select(*keys, F.col("embedding").alias("vec"))
     n_s, n_c = (max(1, math.ceil(n / most)) for n in (s.count(), chunks.count()))
@@ -143,7 +160,8 @@ def verify(sentences: DataFrame, chunks: DataFrame, *, keys: tuple[str, ...], mo
         return a.select(list(keys)).append_column("m", pa.array(found, pa.float64()))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema if f.name in keys)
-    met = left.groupBy("sb", "cb").cogroup(right.groupBy("sb", "cb")).applyInArrow(meet, f"{types}, m double")
+    dealt = lambda x: x.repartition(n_s * n_c, "sb", "cb").groupBy("sb", "cb")
+    met = dealt(left).cogroup(dealt(right)).applyInArrow(meet, f"{types}, m double")
     best = met.groupBy(*keys).agg(F.max("m").alias("m"))
     return sentences.select(*keys).join(best, list(keys), "left").select(*keys, F.greatest(F.lit(0.0), F.coalesce("m", F.lit(0.0))).alias("support"))
 
