@@ -49,9 +49,10 @@ def planes(x: np.ndarray) -> tuple[str, bytes]:
     return x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
-def unplanes(data: tuple[str, bytes]) -> np.ndarray:
+def unplanes(data: tuple[str, bytes], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """The array's values from begin to end."""
     kind, raw = data
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)[:, begin:end].T).view(kind).ravel()
 
 
 class Places(dict):
@@ -128,7 +129,7 @@ class Groups:
 
         return self.table.where(F.col("owner") == STATE).groupBy("gid").cogroup(answers.where(F.col("round") > REPORT).groupBy("gid")).applyInPandas(one, schema)
 
-    def ask(self, answers: DataFrame | None, asks: Callable[[bytes, dict[int, dict]], dict[int, object]]) -> DataFrame:
+    def ask(self, answers: DataFrame | None, asks: Callable[[bytes, dict[int, dict]], dict[int, object] | Iterator[tuple[int, object]]]) -> DataFrame:
         """What asks(a group's body, answers by round in the order of owners) gives for each owner, as lists."""
         if answers is not None:
             return self._with(answers, lambda gid, body, got: as_rows(gid, asks(body, got)), ROWS)
@@ -139,7 +140,7 @@ class Groups:
 
         return self.table.mapInArrow(first, ROWS)
 
-    def advance(self, answers: DataFrame, asks: Callable[[bytes, dict[int, dict]], dict[int, object]]) -> DataFrame:
+    def advance(self, answers: DataFrame, asks: Callable[[bytes, dict[int, dict]], dict[int, object] | Iterator[tuple[int, object]]]) -> DataFrame:
         """As ask; what asks gives for the owner STATE takes the place of the groups' bodies, and both are written. The former bodies are deleted."""
         old, table = self.path, self.write(self.ask(answers, asks))
         self.table = table
@@ -156,15 +157,18 @@ class Groups:
             return out if report is None else pd.concat([out, pd.DataFrame({"gid": [-1], "round": np.int32([REPORT]), "owner": np.int32([owner]), "body": [dumps(report)]})])
 
         given = materialize(lists.groupBy("owner").applyInPandas(own, ANSWERS), f"{self.name}-{number}")
-        tidy(given)
-        return given, [loads(r.body) for r in given.where(F.col("round") == REPORT).select("body").collect()]
+        reports = [loads(r.body) for r in given.where(F.col("round") == REPORT).select("body").collect()]
+        tidy(given)  # after the small job: Spark holds on to the last one's shuffle files
+        return given, reports
 
     def finish(self, answers: DataFrame, rows: Callable[[bytes, dict[int, dict]], pd.DataFrame], schema: str) -> DataFrame:
         return self._with(answers, lambda gid, body, got: rows(body, got), schema)
 
 
-def as_rows(gid: int, lists: dict[int, object]) -> pd.DataFrame:
-    return pd.DataFrame({"gid": np.full(len(lists), gid), "owner": np.array(list(lists), np.int32), "body": [dumps(x) for x in lists.values()]})
+def as_rows(gid: int, lists: dict[int, object] | Iterator[tuple[int, object]]) -> pd.DataFrame:
+    """lists, by owner: if they come one by one, each is packed before the next is made."""
+    told = [(o, dumps(x)) for o, x in (lists.items() if isinstance(lists, dict) else lists)]
+    return pd.DataFrame({"gid": np.full(len(told), gid), "owner": np.array([o for o, _ in told], np.int32), "body": [x for _, x in told]})
 
 
 def tidy(df: DataFrame) -> None:

@@ -8,6 +8,8 @@ spread over owners of hash ranges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -61,8 +63,8 @@ class Live:
         if state:
             self.depth, self.ids, self.marks, *arrays = state
             self.lens, self.known, self.base, self.score, self.pos, self.sym, self.p, self.common, self.last, self.ctx, self.table, self.count = map(unplanes, arrays)
-            self.pos, self.ctx, self.p = np.cumsum(self.pos, dtype=np.int64), self.ctx.astype(np.int64), self.p.astype(float)
-            self.doc = np.searchsorted(np.cumsum(self.lens), self.pos, "right")
+            self.pos, self.ctx, self.p = np.cumsum(self.pos, dtype=np.int32), self.ctx.astype(np.int32), self.p.astype(float)
+            self.doc = np.searchsorted(np.cumsum(self.lens), self.pos, "right").astype(np.int32)
 
     @staticmethod
     def first(t: Packed, got: dict, settings: dict) -> Live:
@@ -79,7 +81,7 @@ class Live:
         self.depth, self.ids, self.marks, self.lens = 1, t.ids, t.marks, t.lens
         self.known, self.base, self.score = add(c[t.at] > 0).astype(np.int64), add(np.log10(p)[t.at]), np.zeros(len(t.lens))
         at, end = t.at, np.array([not w for w in t.words], bool)
-        self.pos, self.doc, self.sym, self.p = np.arange(len(at)), t.doc, number[at], p[at]
+        self.pos, self.doc, self.sym, self.p = np.arange(len(at), dtype=np.int32), t.doc.astype(np.int32), number[at], p[at]
         self.common, self.last = (c >= settings["least_pair"])[at], end[at]
         # the context that ends before each token: its place in a table of numbers, how often these occur in training
         self.go(np.arange(1, len(at))[(c[at[:-1]] >= settings["least_context"]) & ~self.last[:-1]], at[:-1], number, c)
@@ -95,7 +97,7 @@ class Live:
 
     def state(self) -> tuple:
         """For the next round, after asked."""
-        arrays = self.lens, self.known, self.base, self.score, np.diff(self.pos, prepend=0).astype(np.uint64), self.sym, self.p.astype(np.float32), self.common, self.last, self.ctx.astype(np.uint32), self.table, self.count
+        arrays = self.lens, self.known, self.base, self.score, np.diff(self.pos, prepend=np.int32(0)).astype(np.uint32), self.sym, self.p.astype(np.float32), self.common, self.last, self.ctx.astype(np.uint32), self.table, self.count
         return self.depth, self.ids, self.marks, *map(planes, arrays)
 
     def asked(self) -> None:
@@ -108,12 +110,18 @@ class Live:
         numbers = self.table[used]
         own = mix(numbers) % np.uint64(owners)
         order = np.lexsort((numbers, own))
-        rank = np.zeros(len(self.table), np.int64)
+        rank = np.zeros(len(self.table), np.int32)
         rank[used[order]] = np.arange(len(used))
         self.ctx, self.table, self.count, own = rank[self.ctx], numbers[order], self.count[used[order]], own[order].astype(np.int64)
-        self.pick = np.flatnonzero(self.common)
-        keys, first, self.item = np.unique(self.ctx[self.pick].astype(np.uint64) << NUMBER | self.sym[self.pick], return_index=True, return_inverse=True)
-        self.first_of, self.of, self.item_sym = self.pick[first], (keys >> NUMBER).astype(np.int64), keys & LOW
+        self.pick = np.flatnonzero(self.common).astype(np.int32)
+        keys = self.ctx[self.pick].astype(np.uint64) << NUMBER | self.sym[self.pick]
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        self.item = np.empty(len(keys), np.int32)
+        self.item[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.first_of, keys = self.pick[order[new]], keys[new]
+        self.of, self.item_sym = (keys >> NUMBER).astype(np.int64), keys & LOW
         self.hot = self.count >= hot
         # what owners are asked for, in order: the contexts that aren't split, then each item's part of those that are
         whole = np.flatnonzero(~self.hot)
@@ -132,7 +140,7 @@ class Live:
         self.ask_of, self.ask_owner, self.item_ask = self.ask_of[order], self.ask_owner[order], rank[self.item_ask]
         self.sent = np.lexsort((self.item_sym, self.item_ask)) if len(split) else np.arange(len(self.of))
 
-    def lists(self) -> dict[int, tuple]:
+    def lists(self) -> Iterator[tuple[int, tuple]]:
         """For each owner: contexts' numbers, occurrences, how many items each has; items' symbols, counts here, and odds in the suffix; which contexts are parts."""
         train = ~np.array(self.marks, bool)[self.doc[self.pick]]
         counts = np.bincount(self.item, train, len(self.of)).astype(np.uint32)[self.sent]
@@ -141,13 +149,12 @@ class Live:
         sym[1:] -= np.where(np.diff(self.item_ask[self.sent]) == 0, sym[:-1], np.uint64(0))  # steps, as a context's symbols ascend
         number, n, part = self.table[self.ask_of], self.count[self.ask_of], self.hot[self.ask_of]
         at = np.searchsorted(self.ask_owner, np.arange(self.s["owners"] + 1))
-        inner, out = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))[at], {}
+        inner = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))[at]
         for o in range(self.s["owners"]):
             (a, b), (i, j) = at[o : o + 2], inner[o : o + 2]
             if b > a:
                 told = np.diff(number[a:b], prepend=np.uint64(0)), np.diff(n[a:b], prepend=0), runs[a:b], sym[i:j], counts[i:j], odds[i:j], np.flatnonzero(part[a:b]).astype(np.uint32)
-                out[o] = tuple(map(planes, told))
-        return out
+                yield o, tuple(map(planes, told))
 
     def learn(self, got: dict) -> None:
         """Takes the answers about contexts of this depth in, and goes on to those one word longer, which are the items counted now."""
@@ -168,9 +175,10 @@ class Live:
         longer[self.sent[k_sent >= self.s["least_context"]]] = number
         self.p = self.p * gamma[self.ctx]
         self.p[self.pick] += np.where(gamma[self.of] < 1, k / (self.count[self.of] + beta), 0)[self.item]
-        count, item = np.zeros(len(self.pos), np.int64), np.zeros(len(self.pos), np.int64)
+        count, item = np.zeros(len(self.pos), np.int64), np.zeros(len(self.pos), np.int32)
         count[self.pick], item[self.pick] = k[self.item], self.item
         self.common, self.depth = count >= self.s["least_pair"], self.depth + 1
+        self.pick = self.item = self.first_of = self.of = self.item_sym = self.item_ask = self.sent = None
         follows = (self.pos[1:] == self.pos[:-1] + 1) & ~self.last[:-1] & (count[:-1] >= self.s["least_context"])
         self.go(np.flatnonzero(follows) + 1, item[:-1], longer, k)
 
@@ -199,43 +207,69 @@ def weight(n: np.ndarray, kept: np.ndarray, size: np.ndarray, mass: np.ndarray,
     return np.where(stays, (beta + rest) / (n + beta), 1)
 
 
-def test_contexts(lists: list, owner: int, settings: dict, cost: float) -> tuple[list, tuple]:
+def test_contexts(lists: list, owner: int, settings: dict, cost: float, most_items: int = 1 << 19) -> tuple[list, tuple]:
     """Each list gets, of its contexts, the occurrences that go to the suffix (NOT_KEPT: all); of its items the counts (OFTEN: least_context or more); of those that are OFTEN places among the owner's by frequency, and counts.
 
     Other counts that only have to reach least_pair are told as that. Beside: how many contexts are kept, and the sums of the parts of split contexts.
+    Contexts are tested in ranges of about most_items items of all lists, so that only their planes stand in memory as a whole.
     """
     beta, least_pair, least_context = (settings[k] for k in ("beta", "least_pair", "least_context"))
-    lists = [[unplanes(x) for x in one] for one in lists]
-    numbers, n, runs, sym, counts, odds = ([x[i] for x in lists] for i in range(6))
-    key_ends, item_ends = (np.cumsum([0, *map(len, x)]) for x in (numbers, sym))
-    part = np.concatenate([x[6].astype(np.int64) + at for x, at in zip(lists, key_ends, strict=False)])
-    keys, first, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in numbers]), return_index=True, return_inverse=True)
-    n = np.concatenate([np.cumsum(x) for x in n])[first].astype(float)
-    runs, step = np.concatenate(runs).astype(np.int64), np.concatenate(sym)
-    of = np.repeat(at, runs)
-    sym_, begin = np.cumsum(step, dtype=np.uint64), (np.cumsum(runs) - runs)[runs > 0]
-    sym_ -= np.repeat(sym_[begin] - step[begin], runs[runs > 0])
-    items, first, item = np.unique(of.astype(np.uint64) << NUMBER | sym_, return_index=True, return_inverse=True)
-    k = np.bincount(item, np.concatenate(counts), len(items)).astype(np.int64)
-    k[k < least_pair] = 0
-    of = (items >> NUMBER).astype(np.int64)
-    p = np.exp2(-np.concatenate(odds)[first].astype(float) / 8)
-    add = lambda x: np.bincount(of, np.where(k > 0, x, 0), len(keys))
-    sums = add(k), add(1.0), add(p), add(k * np.log(np.maximum(k, 1) / n[of] / p))
-    kept = weight(n, *sums, beta, cost) < 1
-    split = np.zeros(len(keys), bool)
-    split[at[part]] = True
-    rest = np.where(kept, np.maximum(n - sums[0], 0).astype(np.uint64), NOT_KEPT)
-    longer = np.flatnonzero(k >= least_context)
-    by = longer[np.argsort(-k[longer], kind="stable")]
-    rank = np.zeros(len(items), np.uint64)
-    rank[by] = np.arange(len(by), dtype=np.uint64)
-    told = np.where(k >= least_context, OFTEN, np.where((kept | split)[of], k, np.minimum(k, least_pair))).astype(np.uint8)[item]
-    rank, k, answers = rank[item], k[item], []
-    for a, b, i, j in zip(key_ends[:-1], key_ends[1:], item_ends[:-1], item_ends[1:], strict=True):
-        often = np.flatnonzero(told[i:j] == OFTEN) + i
-        answers.append((planes(rest[at[a:b]]), planes(told[i:j]), planes(rank[often]), falls(k[often], rank[often]), owner))
-    return answers, (int(kept[~split].sum()), keys[split], n[split], *(x[split] for x in sums))
+    numbers, n = ([np.cumsum(unplanes(one[i]), dtype=kind) for one in lists] for i, kind in ((0, np.uint64), (1, np.int64)))
+    inner = [np.concatenate(([0], np.cumsum(unplanes(one[2]), dtype=np.int64))) for one in lists]
+    parts = [unplanes(one[6]).astype(np.int64) for one in lists]
+    bounds = ranges(numbers, inner, most_items)
+    # for each list and range: what suffixes get, told counts, and which of the frequent items, over all ranges, are the often told ones
+    got: list[list[tuple]] = [[] for _ in lists]
+    frequent, reports, so_far = [], [], 0
+    cut = [np.searchsorted(x, bounds).tolist() + [len(x)] for x in numbers]
+    for r in range(len(bounds)):
+        at_ = [slice(c[r], c[r + 1]) for c in cut]
+        items_ = [(int(x[s.start]), int(x[s.stop])) for x, s in zip(inner, at_, strict=True)]
+        keys, first, at = np.unique(np.concatenate([x[s] for x, s in zip(numbers, at_, strict=True)]), return_index=True, return_inverse=True)
+        size = np.concatenate([x[s] for x, s in zip(n, at_, strict=True)])[first].astype(float)
+        runs = np.concatenate([np.diff(x[s.start : s.stop + 1]) for x, s in zip(inner, at_, strict=True)])
+        step, counts, odds = (np.concatenate([unplanes(one[i], *x) for one, x in zip(lists, items_, strict=True)]) for i in (3, 4, 5))
+        key_ends, item_ends = np.cumsum([0, *(s.stop - s.start for s in at_)]), np.cumsum([0, *(j - i for i, j in items_)])
+        sym, begin = np.cumsum(step, dtype=np.uint64), (np.cumsum(runs) - runs)[runs > 0]
+        sym -= np.repeat(sym[begin] - step[begin], runs[runs > 0])
+        sym |= np.repeat(at, runs).astype(np.uint64) << NUMBER
+        items, first, item = np.unique(sym, return_index=True, return_inverse=True)
+        k = np.bincount(item, counts, len(items)).astype(np.int64)
+        k[k < least_pair] = 0
+        of = (items >> NUMBER).astype(np.int64)
+        p = np.exp2(-odds[first].astype(float) / 8)
+        add = lambda x: np.bincount(of, np.where(k > 0, x, 0), len(keys))  # noqa: B023, E731
+        sums = add(k), add(1.0), add(p), add(k * np.log(np.maximum(k, 1) / size[of] / p))
+        kept = weight(size, *sums, beta, cost) < 1
+        split = np.zeros(len(keys), bool)
+        for x, s, i in zip(parts, at_, key_ends.tolist(), strict=False):
+            split[at[x[(x >= s.start) & (x < s.stop)] - s.start + i]] = True
+        rest = np.where(kept, np.maximum(size - sums[0], 0).astype(np.uint64), NOT_KEPT)
+        often = k >= least_context
+        place = np.cumsum(often) - 1 + so_far
+        told = np.where(often, OFTEN, np.where((kept | split)[of], k, np.minimum(k, least_pair))).astype(np.uint8)[item]
+        for out, a, b, i, j in zip(got, key_ends[:-1], key_ends[1:], item_ends[:-1], item_ends[1:], strict=True):
+            out.append((rest[at[a:b]], told[i:j].copy(), place[item[i:j][told[i:j] == OFTEN]]))
+        frequent.append(k[often])
+        so_far += len(frequent[-1])
+        reports.append((int(kept[~split].sum()), keys[split], size[split], *(x[split] for x in sums)))
+    k = np.concatenate(frequent)
+    rank = np.empty(len(k), np.uint64)
+    rank[np.argsort(-k, kind="stable")] = np.arange(len(k), dtype=np.uint64)
+    answers = []
+    for out in got:
+        rest, told, often = map(np.concatenate, zip(*out, strict=True))
+        answers.append((planes(rest), planes(told), planes(rank[often]), falls(k[often], rank[often]), owner))
+        out.clear()
+    return answers, (sum(x[0] for x in reports), *map(np.concatenate, list(zip(*reports, strict=True))[1:]))
+
+
+def ranges(numbers: list[np.ndarray], inner: list[np.ndarray], most: int) -> np.ndarray:
+    """First numbers of ascending ranges of contexts that have about most items each in all lists, or one context; the first is 0."""
+    of = np.concatenate(numbers)
+    order = np.argsort(of, kind="stable")
+    of, held = of[order], np.cumsum(np.concatenate([np.diff(x) for x in inner])[order])
+    return np.unique(np.concatenate(([np.uint64(0)], of[np.searchsorted(held, np.arange(most, held[-1], most))])))
 
 
 def split_weights(reports: list, beta: float, cost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -284,10 +318,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         live.learn(got.get(live.depth, {}))
         return live
 
-    def longer(body: bytes, got: dict) -> dict:
+    def longer(body: bytes, got: dict) -> Iterator[tuple[int, tuple]]:
         live = later(body, got)
+        got.clear()
         live.asked()
-        return {STATE: live.state(), **live.lists()}
+        yield STATE, live.state()
+        yield from live.lists()
 
     asked, before = groups.ask(words, lambda body, got: at_first(body, got).lists()), words
     for d in range(1, depth + 1):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quirelake.llm import chat, decontaminate, exact_dedup, jaccard_join, language, mixing, quality, substring_dedup, suffix_lm, toxicity
+from quirelake.llm.groups import planes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -486,6 +488,33 @@ def test_suffix_lm(docs, none, all_rows, depth, kw):
         assert suffix_lm.score_documents(none).count() == 0
 
 
+def context_lists(groups, contexts, symbols):
+    """Lists of contexts for an owner, as groups send them: each has every context, with other symbols; every tenth is a part of a split one."""
+    rng, out = np.random.default_rng(5), []
+    for _ in range(groups):
+        sym = np.sort(rng.integers(1, 8 * symbols, (contexts, symbols)) * 40 + np.arange(symbols), axis=1)
+        steps = np.diff(sym, prepend=0, axis=1).ravel().astype(np.uint64)
+        odds = (np.cumsum(steps.reshape(contexts, symbols), axis=1) % 90).ravel().astype(np.uint8)
+        told = np.ones(contexts, np.uint64), np.zeros(contexts, np.int64), np.full(contexts, symbols, np.uint32), steps, rng.integers(0, 9, steps.shape).astype(np.uint32), odds, np.arange(0, contexts, 10, dtype=np.uint32)
+        told[1][0] = 10 * groups * symbols
+        out.append(tuple(map(planes, told)))
+    return out
+
+
+def test_contexts_in_ranges():
+    """An owner's answers don't depend on the ranges in which it tests contexts, and ranges bound its memory beside the lists and answers."""
+    tuned = {"least_context": 4, "least_pair": 2, "beta": 1.0}
+    lists = context_lists(4, 300, 20)
+    (want, (kept, *sums)), (got, (kept_, *sums_)) = (suffix_lm.test_contexts(lists, 1, tuned, 0.05, n) for n in (1 << 30, 50))
+    assert got == want and kept == kept_ > 0 and all(np.array_equal(x, y) for x, y in zip(sums, sums_, strict=True)) and len(sums[0]) == 30
+    lists = context_lists(8, 2500, 40)
+    tracemalloc.start()
+    suffix_lm.test_contexts(lists, 1, tuned, 0.05, 1 << 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 8 * 2500 * 40
+
+
 # substring dedup
 
 
