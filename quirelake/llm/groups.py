@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, scratch, slices
+from .common import as_bytes, scratch, slices
 
 #: Lists for owners; a group's own body stands with the owner STATE.
 ROWS = "gid long, owner int, body binary"
@@ -111,7 +111,7 @@ class Groups:
             if held:
                 yield row()
 
-        self.table = self.write(docs.mapInArrow(pack, ROWS))
+        self.table, self.given = self.write(docs.mapInArrow(pack, ROWS)), []
 
     def write(self, rows: DataFrame) -> DataFrame:
         """rows, written to the shared folder in buckets of gid: what is joined with them by gid moves, they don't."""
@@ -141,10 +141,11 @@ class Groups:
         return self.table.mapInArrow(first, ROWS)
 
     def advance(self, answers: DataFrame, asks: Callable[[bytes, dict[int, dict]], dict[int, object] | Iterator[tuple[int, object]]]) -> DataFrame:
-        """As ask; what asks gives for the owner STATE takes the place of the groups' bodies, and both are written. The former bodies are deleted."""
-        old, table = self.path, self.write(self.ask(answers, asks))
-        self.table = table
-        release(table.sparkSession, old)
+        """As ask; what asks gives for the owner STATE takes the place of the groups' bodies, and both are written. The former bodies and all answers given so far are deleted."""
+        old, table = [self.path, *self.given], self.write(self.ask(answers, asks))
+        self.table, self.given = table, []
+        for path in old:
+            release(table.sparkSession, path)
         return table.where(F.col("owner") != STATE)
 
     def answer(self, lists: DataFrame, number: int, answers: Callable[[list, int], tuple[list, object]]) -> tuple[DataFrame, list]:
@@ -156,7 +157,10 @@ class Groups:
             out = pd.DataFrame({"gid": rows.gid, "round": np.int32(number), "owner": rows.owner, "body": [dumps(x) for x in bodies]})
             return out if report is None else pd.concat([out, pd.DataFrame({"gid": [-1], "round": np.int32([REPORT]), "owner": np.int32([owner]), "body": [dumps(report)]})])
 
-        given = materialize(lists.groupBy("owner").applyInPandas(own, ANSWERS), f"{self.name}-{number}")
+        spark, path = lists.sparkSession, scratch(lists.sparkSession, f"{self.name}-{number}")
+        lists.groupBy("owner").applyInPandas(own, ANSWERS).write.parquet(path)
+        given = spark.read.schema(ANSWERS).parquet(path)
+        self.given.append(path)
         reports = [loads(r.body) for r in given.where(F.col("round") == REPORT).select("body").collect()]
         tidy(given)  # after the small job: Spark holds on to the last one's shuffle files
         return given, reports

@@ -515,6 +515,15 @@ def test_contexts_in_ranges():
     assert peak < 45 * 8 * 2500 * 40
 
 
+def test_spent_answers(docs, monkeypatch):
+    """Of the answers only those that the result is read from stay on disk."""
+    made, write = [], suffix_lm.Groups.answer
+    monkeypatch.setattr(suffix_lm.Groups, "answer", lambda self, *a: made.append(write(self, *a)) or made[-1])
+    got = suffix_lm.score_documents(docs, depth=3, least_context=4, cost=0.01)
+    assert len(made) > 2 and [df.sparkSession.read.schema(df.schema).parquet(df.inputFiles()[0].rsplit("/", 1)[0]).isEmpty() for df, _ in made] == [True] * (len(made) - 1) + [False]
+    assert got.count() == docs.count()
+
+
 # substring dedup
 
 
